@@ -82,7 +82,7 @@ def links(prints: DataFrame) -> DataFrame:
     sides = prints.select("fp", "v", half.alias("s")).select("fp", "v", "s.side", "s.h", "s.o")
     # One wild bit: the side with the bit off meets the side with it on.
     wild = sides.select("fp", "v", "side", "h", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
-    wild = wild.select("fp", "v", F.expr("h & shiftleft(1L, bit)").alias("on"), F.expr("side * 32 + bit").cast("byte").alias("slot"), F.expr("h & ~shiftleft(1L, bit)").cast("int").alias("rest"))
+    wild = wild.select("fp", "v", F.expr("h & shiftleft(1L, bit)").alias("on"), F.expr("side * 32 + bit").cast("byte").alias("slot"), F.expr("(h & ~shiftleft(1L, bit)) - 2147483648L").cast("int").alias("rest"))
     off = wild.where("on = 0").select("slot", "rest", F.col("fp").alias("f1"), F.col("v").alias("a"))
     on = wild.where("on <> 0").select("slot", "rest", F.col("fp").alias("f2"), F.col("v").alias("b"))
     edges = off.join(on, ["slot", "rest"]).where(_near("f1", "f2")).select("a", "b")
