@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,13 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; it survives the loss of executors.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a session without
-    one (tests, a laptop) gets a local folder.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; a local one only where none is set (tests, a laptop)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
         if at is None:
@@ -34,6 +31,19 @@ def durable(df: DataFrame) -> DataFrame:
 
             at = tempfile.mkdtemp(prefix="ks-checkpoint-")
         sc.setCheckpointDir(at)
+    return sc.getCheckpointDir()
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write a Parquet table in the shared folder and read it again."""
+    at = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder; it survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

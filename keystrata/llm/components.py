@@ -12,10 +12,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(v, root) for every vertex of ``edges(a, b)``; root is the smallest vertex it reaches.
 
     In a round each vertex that has a smaller neighbour hooks to the smallest
-    one, pointers are doubled once, and the edges are rewritten to what their
-    ends point to; edges inside a tree vanish. The minimum is combined before
-    the shuffle, so a vertex with very many edges doesn't burden one task, and
-    a chain of n vertices takes about log n rounds. Only counts reach the driver.
+    one, pointers are doubled until they reach the roots, and the edges are
+    rewritten to the roots of their ends; those inside a tree vanish. The minimum
+    is combined before the shuffle, so a vertex with very many edges doesn't
+    burden one task. A tree of depth d takes log d doublings, and each round
+    leaves half of the vertices at most. Only counts reach the driver.
     """
     live = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     label: DataFrame | None = None
@@ -23,8 +24,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if live.isEmpty():
             break
         hook = live.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("p"))
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook = durable(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
+        for _ in range(max_rounds):
+            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+            hook = durable(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved")))
+            if hook.where("moved").isEmpty():
+                break
+        hook = hook.drop("moved")
         if label is None:
             label = hook.withColumnRenamed("p", "root")
         else:
