@@ -40,8 +40,8 @@ MARKS = frozenset(".,;:!?|\n")
 STEMS = range(3, 8)
 #: A pattern's log-likelihood gain over the base rate, its ratio of odds, and the documents it needs.
 GAIN, ODDS, SUPPORT = 16.0, 2.5, 5
-#: Patterns that are kept at most, the strongest.
-PATTERNS = 4_096
+#: Patterns that are looked at closely and that are kept at most, the strongest.
+CANDIDATES, PATTERNS = 60_000, 4_096
 INSULT, THREAT, TARGET, NOT, SAYS = range(1, 6)
 _LISTS = {
     THREAT: "kill murder destroy hurt stab shoot strangle töten umbringen vernichten schlagen erschießen tuer frapper détruire étrangler matar destruir golpear apuñalar",
@@ -156,6 +156,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
     return np.where(w * sign >= 0, w, 0.0)
 
 
+def _spread(rows: DataFrame, text_col: str, likely: dict[str, tuple[int, int]], bad: int, good: int) -> dict[str, float]:
+    """Patterns that are strong even when their toxic documents count only as far as their contexts differ.
+
+    Copies of a toxic document make all of its words look toxic. So a pattern's
+    occurrences are counted by the words before and after it, and its toxic
+    documents are taken to be no more than the effective number of contexts,
+    (sum n)^2 / sum n^2, which copies hardly raise.
+    """
+    words, stems = {p for p in likely if not p.endswith("*")}, {p for p in likely if p.endswith("*")}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, text_col):
+            n: Counter = Counter()
+            for raw, y in zip(texts(b.column(0)), b.column(1).to_pylist()):
+                if y != 1:
+                    continue
+                tokens = ["", *TOKEN.findall(raw.decode("utf-8", "replace").lower()), ""]
+                for before, w, after in zip(tokens, tokens[1:], tokens[2:]):
+                    around = f"{before} {after}"
+                    if w in words:
+                        n[w, around] += 1
+                    for k in STEMS:
+                        if len(w) >= k and (p := w[:k] + "*") in stems:
+                            n[p, around] += 1
+            keys = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in keys], pa.string()), pa.array([a for _, a in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64())], names=["p", "around", "n"])
+
+    seen = rows.mapInArrow(count, fields(p=T.StringType(), around=T.StringType(), n=T.LongType())).groupBy("p", F.xxhash64("around").alias("a")).agg(F.sum("n").alias("n"))
+    spread = seen.groupBy("p").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("k"))
+    found, rate = [], bad / (bad + good)
+    for r in spread.collect():
+        b, g = min(float(likely[r.p][0]), float(r.k)), likely[r.p][1]
+        gain = b * np.log(b / ((b + g) * rate)) + (g * np.log(g / ((b + g) * (1 - rate))) if g else 0.0)
+        odds = np.log((b + 0.5) / (bad + 1)) - np.log((g + 0.5) / (good + 1))
+        if b >= SUPPORT and gain >= GAIN and odds >= ODDS:
+            found.append((-gain, r.p, float(odds)))
+    return {p: odds for _, p, odds in sorted(found)[:PATTERNS]}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, mod: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Patterns and logistic weights from a bounded sample of the labelled rows outside the held-out fold."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train_fold(id_col, mod, held))
@@ -182,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 24_000, mod: int
     gain = b * F.log(b / ((b + g) * rate)) + F.when(g > 0, g * F.log(g / ((b + g) * (1 - rate)))).otherwise(0.0)
     odds = F.log((b + 0.5) / (bad + 1)) - F.log((g + 0.5) / (good + 1))
     strong = sums.where(b >= SUPPORT).withColumn("gain", gain).withColumn("odds", odds).where((F.col("gain") >= GAIN) & (F.col("odds") >= ODDS))
-    patterns = {r.p: float(r.odds) for r in strong.orderBy(F.desc("gain"), "p").limit(PATTERNS).collect()}
+    likely = {r.p: (int(r.bad), int(r.good)) for r in strong.orderBy(F.desc("gain"), "p").limit(CANDIDATES).collect()}
+    patterns = _spread(rows, text_col, likely, bad, good)
 
     seen = fields(x=T.ArrayType(T.DoubleType()), y=T.IntegerType())
 
