@@ -153,3 +153,29 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
         return run
 
     return map_texts(docs.select(id_col, text_col), text_col, out, make)
+
+
+def _oracle(threshold: float = 0.85) -> str:
+    """DuckDB SQL of the registered query: every unit against every template that its size allows."""
+    quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+    words = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:\.[0-9]+)*')"
+    grams = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    return f"""
+WITH t AS (SELECT name, {grams.format('w')} AS g FROM (SELECT name, {words.format('body')} AS w FROM (VALUES {quoted}) v(name, body))),
+l AS (SELECT doc_id, i, line, regexp_matches(line, '\\S') AS full_, {words.format('line')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+g AS (SELECT *, {grams.format('w')} AS g, sum(CASE WHEN full_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l),
+p AS (SELECT doc_id, p, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM g WHERE full_ GROUP BY doc_id, p),
+z AS (SELECT g.doc_id, t.name, min(g.i) AS a, max(g.i) AS z FROM g JOIN t ON len(t.g) >= {LONG} WHERE len(g.g) > 3 AND 2 * len(list_intersect(g.g, t.g)) > len(g.g) GROUP BY ALL HAVING min(g.i) < max(g.i)),
+u AS (SELECT doc_id, NULL AS name, line AS body FROM g WHERE full_
+  UNION ALL SELECT doc_id, NULL, body FROM p WHERE n > 1
+  UNION ALL SELECT doc_id, NULL, text FROM documents WHERE doc_id IN (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) > 1)
+  UNION ALL SELECT z.doc_id, z.name, string_agg(g.line, chr(10) ORDER BY g.i) FROM z JOIN g ON g.doc_id = z.doc_id AND g.i BETWEEN z.a AND z.z GROUP BY z.doc_id, z.name),
+s AS (SELECT doc_id, name, {grams.format('w')} AS g FROM (SELECT doc_id, name, {words.format('body')} AS w FROM u)),
+d AS (SELECT s.doc_id, t.name, max((2 * len(list_intersect(s.g, t.g)))::DOUBLE / (len(s.g) + len(t.g))::DOUBLE) AS dice FROM s JOIN t ON len(s.g) BETWEEN {low!r} * len(t.g) AND {high!r} * len(t.g) AND (s.name IS NULL OR s.name = t.name) WHERE len(s.g) > 0 GROUP BY ALL),
+f AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, string_agg(name, ',' ORDER BY name) AS licenses, count(*)::BIGINT AS n FROM d WHERE dice >= {threshold!r} GROUP BY doc_id)
+SELECT documents.doc_id, license, dice, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses FROM documents LEFT JOIN f USING (doc_id)
+"""
+
+
+ORACLE = _oracle()

@@ -72,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": mixing.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
+    return {"op1_license_scans": licenses.ORACLE, "op5_source_mixing": mixing.ORACLE, "op8_benchmark_decontamination": decontaminate.ORACLE}
