@@ -414,10 +414,10 @@ def test_clauses():
 
 
 def test_licenses(spark, docs):
-    mit = licenses.TEMPLATES["mit-text"]
-    rows = [(1, "some words here\nReleased under the MIT license\nmore of it"), (2, mit), (3, "Copyright (c) 2020 Someone\n" + mit.lower() + "\nthe end of it all"), (4, "Licensed under the Apache Licence, Version 2.0"), (5, None), (6, ""), (7, "MIT"), (8, "Licensed under CC BY-NC 4.0.\nAll Rights Reserved")]
+    bsd = licenses.TEMPLATES["bsd-3-clause"]
+    rows = [(1, "some words here\nReleased under the MIT license\nmore of it"), (2, bsd), (3, "Copyright (c) 2020 Someone\n" + bsd.lower() + "\nthe end of it all"), (4, "Licensed under the Apache Licence, Version 2.0"), (5, None), (6, ""), (7, "MIT"), (8, "Licensed under CC BY-NC 4.0.\nAll Rights Reserved")]
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i].license for i in range(1, 9)] == ["mit", "mit-text", "mit-text", None, None, None, None, "all-rights-reserved"]
+    assert [got[i].license for i in range(1, 9)] == ["mit", "bsd-3-clause", "bsd-3-clause", None, None, None, None, "all-rights-reserved"]
     assert got[8].licenses == "all-rights-reserved,cc-by-nc-4.0" and got[2].dice == 1.0
     assert licenses.license_scan(docs).where("n_licenses > 0").count() == 0
     assert licenses.license_scan(empty(docs)).count() == 0
