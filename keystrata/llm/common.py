@@ -53,15 +53,15 @@ def texts(column: pa.Array) -> list[bytes]:
     return [b"" if b is None else b for b in column.cast(kind).to_pylist()]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold at most CHUNK_BYTES of text, or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most ``most`` bytes of text, or one row."""
     import pyarrow.compute as pc
 
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_pylist()
         at, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > at and (held + n > CHUNK_BYTES or i - at >= CHUNK_ROWS):
+            if i > at and (held + n > most or i - at >= CHUNK_ROWS):
                 yield b.slice(at, i - at)
                 at, held = i, 0
             held += n
