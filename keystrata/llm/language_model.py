@@ -42,6 +42,8 @@ from .hashing import WordHasher, mix
 
 MU, DISCOUNT = 50.0, 0.75
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Bytes of text for each shard: its keys take about twice as many, so a shard stays small at any size of the corpus.
+SHARD_BYTES = 16 << 20
 #: Bytes of a key that are kept, by order of the n-gram.
 WIDTH = {1: 8, 2: 7}
 ROW = fields(shard=T.IntegerType(), piece=T.LongType(), n=T.IntegerType(), body=T.BinaryType(), counts=T.BinaryType())
@@ -193,9 +195,10 @@ def lm_scores(docs: DataFrame, mod: int = 7, held: int = 2, shards: int | None =
 
     ``docs`` must give the same rows in the same slices when read twice, as tables do.
     """
-    spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(id_col, text_col)
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        shards = max(8, -(-size // SHARD_BYTES))
     answers = durable(_answers(_asks(docs, text_col, shards, mod, held)))
     sums = answers.where("n = 0").agg(*[F.coalesce(F.sum(F.col("stat")[k]), F.lit(0)).alias(f"s{k}") for k in range(3)]).first()
     stat = [int(x) for x in sums]
