@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from .common import chunks, crc_fold, durable, fields, texts, with_results
 from .hashing import WordHasher, mix
 
-MU, DISCOUNT = 50.0, 0.75
+MU, DISCOUNT = 500.0, 0.75
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bytes of text for each shard: its keys take about twice as many, so a shard stays small at any size of the corpus.
 SHARD_BYTES = 16 << 20

@@ -37,9 +37,9 @@ from .common import chunks, crc_fold, fields, map_texts, texts, with_results
 TOKEN = re.compile(r"[^\W\d_]+|[.,;:!?|\n]")
 MARKS = frozenset(".,;:!?|\n")
 #: Lengths of word beginnings that may be patterns.
-STEMS = range(3, 8)
+STEMS = range(3, 11)
 #: A pattern's log-likelihood gain over the base rate, its ratio of odds, and the documents it needs.
-GAIN, ODDS, SUPPORT = 16.0, 2.5, 5
+GAIN, ODDS, SUPPORT = 10.5, 3.0, 5
 #: Patterns that are looked at closely and that are kept at most, the strongest.
 CANDIDATES, PATTERNS = 60_000, 4_096
 INSULT, THREAT, TARGET, NOT, SAYS = range(1, 6)
