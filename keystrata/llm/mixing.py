@@ -140,23 +140,24 @@ def _shares(level: str, above: str, keys: str, name: str, weight: str) -> str:
     return f"""
 {level}_c AS (SELECT {cols}, {weight} AS w, sum(t)::HUGEINT * 2 AS cap FROM tokens GROUP BY {cols}),
 {level}_o AS (SELECT c.*, b, sum(w) OVER q - w AS w_before, sum(cap) OVER q - cap AS cap_before, sum(w) OVER ({part}) AS w_all FROM {level}_c c {using} WHERE cap > 0 WINDOW q AS ({part} ORDER BY cap * 60 // w, {name})),
-{level}_s AS (SELECT *, cap * (w_all - w_before) <= (b - cap_before) * w AS full FROM {level}_o),
-{level}_r AS (SELECT *, b - sum(CASE WHEN full THEN cap ELSE 0 END) OVER ({part}) AS rb, sum(CASE WHEN full THEN 0 ELSE w END) OVER ({part}) AS rw FROM {level}_s),
-{level}_f AS (SELECT *, CASE WHEN full THEN cap ELSE rb * w // rw END AS a, CASE WHEN full THEN -1 ELSE rb * w % rw END AS frac FROM {level}_r),
-{level} AS (SELECT {cols}, (a + CASE WHEN NOT full AND row_number() OVER ({part} ORDER BY frac DESC, {name}) <= rb - sum(CASE WHEN full THEN 0 ELSE a END) OVER ({part}) THEN 1 ELSE 0 END)::HUGEINT AS b FROM {level}_f)"""
+{level}_s AS (SELECT *, cap * (w_all - w_before) <= (b - cap_before) * w AS sat FROM {level}_o),
+{level}_r AS (SELECT *, b - sum(CASE WHEN sat THEN cap ELSE 0 END) OVER ({part}) AS rb, sum(CASE WHEN sat THEN 0 ELSE w END) OVER ({part}) AS rw FROM {level}_s),
+{level}_f AS (SELECT *, CASE WHEN sat THEN cap ELSE rb * w // rw END AS a, CASE WHEN sat THEN -1 ELSE rb * w % rw END AS frac FROM {level}_r),
+{level} AS (SELECT {cols}, (a + CASE WHEN NOT sat AND row_number() OVER ({part} ORDER BY frac DESC, {name}) <= rb - sum(CASE WHEN sat THEN 0 ELSE a END) OVER ({part}) THEN 1 ELSE 0 END)::HUGEINT AS b FROM {level}_f)"""
 
 
 #: DuckDB SQL of the registered query: six tenths of all words, two epochs, seed 17, the weights of the registry.
 ORACLE = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce('dom' || (nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '')::BIGINT % 4), 'other') AS domain,
-  len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens FROM documents),
 k AS (SELECT *, coalesce(lang, '') AS l, coalesce(source, '') AS s FROM d),
 tokens AS (SELECT domain, l, s, sum(n_tokens)::HUGEINT AS t FROM k GROUP BY ALL),
 root AS (SELECT sum(t) * 6 // 10 AS b FROM tokens),{_shares("dom", "root", "", "domain", "CASE domain WHEN 'dom0' THEN 4 WHEN 'dom1' THEN 3 WHEN 'dom2' THEN 2 ELSE 1 END")},{_shares("lng", "dom", "domain", "l", "CASE l WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END")},{_shares("leaf", "lng", "domain, l", "s", "1")},
 p AS (SELECT domain, l, s, (b // t)::BIGINT AS whole, (b % t)::BIGINT AS rest FROM leaf JOIN tokens USING (domain, l, s) WHERE b > 0),
 r AS (SELECT k.*, whole, rest, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY substr(md5('17:' || whole || ':' || doc_id), 1, 16), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k JOIN p USING (domain, l, s)),
-last AS (SELECT domain, l, s, min(upto) AS at FROM r WHERE rest > 0 AND upto >= rest GROUP BY ALL),
+ends AS (SELECT domain, l, s, min(upto) AS edge FROM r WHERE rest > 0 AND upto >= rest GROUP BY ALL),
 x AS (SELECT doc_id, domain, lang, source, e::INTEGER AS epoch, n_tokens, n_tokens AS take_tokens FROM (SELECT *, unnest(range(whole)) AS e FROM r)
-UNION ALL SELECT doc_id, domain, lang, source, whole::INTEGER, n_tokens, least(n_tokens, rest - upto + n_tokens)::BIGINT FROM r JOIN last USING (domain, l, s) WHERE rest > 0 AND (upto < at OR upto = at AND n_tokens > 0))
+UNION ALL SELECT doc_id, domain, lang, source, whole::INTEGER, n_tokens, least(n_tokens, rest - upto + n_tokens)::BIGINT FROM r JOIN ends USING (domain, l, s) WHERE rest > 0 AND (upto < edge OR upto = edge AND n_tokens > 0))
 SELECT * FROM x
 """
