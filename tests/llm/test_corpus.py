@@ -520,25 +520,3 @@ def test_share():
     # A shortage below goes to siblings before it goes to the other branch.
     got = mixing.leaf_budgets(100, {("x", "en", "s"): 5, ("x", "en", "t"): 100, ("y", "en", "s"): 100}, {}, 1)
     assert got == {("x", "en", "s"): 5, ("x", "en", "t"): 45, ("y", "en", "s"): 50}
-
-
-# Pipeline
-
-
-def test_pipeline(spark):
-    from pathlib import Path
-
-    import corpus_pipeline
-
-    sf = Path("/root/testdata/sf0.001")
-    if not sf.exists():
-        pytest.skip("driver tables are not here")
-    docs = spark.read.parquet(str(sf / "documents.parquet"))
-    sizes, cols = [docs.count()], docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, str(sf)).cache()
-        sizes.append(out.select("doc_id").distinct().count())
-        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == cols
-        docs = out
-    assert sizes[1:] == sorted(sizes[1:], reverse=True) and sizes[-1] > 0
-    assert len(corpus_pipeline.STAGES) == 5
