@@ -120,7 +120,7 @@ def kv_missing_keys(spark, d):
 @query(f"WITH {STATE}, {_VALUES} SELECT coalesce(string_agg(key || '=' || value::DECIMAL(18, 4), ',' ORDER BY key), '') AS entries FROM live WHERE key IN (SELECT key FROM batch)")
 def kv_batch_to_map(spark, d):
     pairs = F.transform(F.map_entries("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(18,4)").cast("string")))
-    return lookup.batch_to_map(_state(spark, d), _batch(spark), AS_OF).select(F.array_join(F.array_sort(pairs), ",").alias("entries"))
+    return lookup.batch_to_map(_state(spark, d), _batch(spark), AS_OF).select(F.array_join(pairs, ",").alias("entries"))
 
 
 # Scans
