@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The session's shared checkpoint folder; a local one only where none is set (tests, a laptop)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        at = sc.getConf().get("spark.checkpoint.dir")
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if at is None:
             import tempfile
 
