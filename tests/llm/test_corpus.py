@@ -291,6 +291,37 @@ def test_hot_seeds_take_the_other_way(spark, planted, monkeypatch):
     assert passages.hot_seeds(df) and {tuple(r) for r in passages.matches(df).collect()} == want
 
 
+def test_sub_chains_of_a_chain_that_fails():
+    one, two = [b"a%d" % i for i in range(60)], [b"b%d" % i for i in range(60)]
+    edited = lambda w, *at: [b"x" + x if i in at else x for i, x in enumerate(w)]
+    source = one + two
+    words = edited(one, 30) + [b"n%d" % i for i in range(75)] + edited(two, 30)
+    pieces = [0, 0, 30, 31, 31, 29, 135, 60, 30, 166, 91, 29]
+    assert sorted(passages.align(words, source, 0, pieces)) == [(0, 60, 0, 60, 0.9833), (135, 195, 60, 120, 0.9833)]
+    long = [b"c%d" % i for i in range(200)]
+    at = [*range(14, 100, 15), *range(114, 200, 15)]
+    copy = edited(long, *at)
+    copy[100:100] = [b"n%d" % i for i in range(100)]
+    cuts = [0, *[x for i in at for x in (i, i + 1)], 200]
+    runs = [(a, z) for a, z in zip(cuts[::2], cuts[1::2]) if z > a]
+    runs = [y for a, z in runs for y in ([(a, 100), (100, z)] if a < 100 < z else [(a, z)])]
+    pieces = [x for a, z in runs for x in (a + 100 * (a >= 100), a, z - a)]
+    assert sorted(x[:4] for x in passages.align(copy, long, 0, pieces)) == [(0, 100, 0, 100), (200, 300, 100, 200)]
+    rng, vocab = random.Random(6), [b"w%d" % i for i in range(12)]
+    for _ in range(100):
+        a, b = ([rng.choice(vocab) for _ in range(300)] for _ in range(2))
+        trio, x, y = [], 0, 0
+        while x < 250 and y < 250:
+            k = rng.randint(5, 25)
+            b[y : y + k] = a[x : x + k]
+            trio += [x, y, k]
+            x, y = x + k + rng.randint(0, 12), y + k + rng.randint(0, 12)
+        n = len(trio) // 3
+        every = [p for i in range(n) for j in range(i + 1, n + 1) for p in passages.align(a, b, 0, trio[3 * i : 3 * j])]
+        got = passages.align(a, b, 0, trio)
+        assert bool(got) == bool(every) and all(g[4] >= 0.8 and g[1] - g[0] >= 50 for g in got)
+
+
 def test_chain_is_the_best_one():
     rng = random.Random(4)
     for _ in range(200):
