@@ -26,7 +26,7 @@ def source_domain() -> Column:
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), {**licenses.TEMPLATES, **licenses.full_texts()})
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

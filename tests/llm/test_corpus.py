@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keystrata.llm import components, decontaminate, html_text, language_model, licenses, mixing, passages, quality, simhash, token_counts, toxicity
+from keystrata.llm import components, decontaminate, html_text, language_model, licenses, mixing, passages, quality, registry, simhash, token_counts, toxicity
 
 SPACES = " \t\n\x0b\x0c\r"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -454,6 +454,16 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(empty(docs)).count() == 0
 
 
+def test_registered_query_knows_whole_licences(spark, tmp_path):
+    full = licenses.full_texts()
+    assert set(full) == {"apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text", "mit-text", "mpl-2.0-text", "unlicense-text"}
+    rows = [(i, "Copyright (c) 2020 Someone\n\n" + t.upper() + "\n\ndef main():\n    pass") for i, t in enumerate(full.values())] + [(100, full["mit-text"]), (101, "no licence here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op1_license_scans(spark, str(tmp_path)).collect()}
+    assert all(n in got[i].licenses.split(",") for i, n in enumerate(full))  # the MPL and others quote their own notice, which scores more
+    assert got[100].license == "mit-text" and got[100].dice == 1.0 and got[101].n_licenses == 0
+
+
 def test_size_bounds_lose_nothing():
     s = licenses.Scanner(licenses.TEMPLATES, 0.6)
     rng, pool = random.Random(3), [w for t in licenses.TEMPLATES.values() for w in licenses.WORD.findall(t.lower())]
