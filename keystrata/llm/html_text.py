@@ -3,7 +3,8 @@
 Every page is cut into text blocks. What stands in menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles (by element,
 role, class or identifier) goes. If the markup names the article, its blocks are
-the text. If not, the page's blocks are compared with those of the page next to
+the text: all outermost <article> elements, else <main>, else those named by
+class; a <main> whose text mostly stands outside its articles is taken whole. If not, the page's blocks are compared with those of the page next to
 it in the order of (host, URL path): the blocks are aligned by their longest
 common subsequence and the shared ones are deleted, unless the neighbour is a
 copy of the page, when the one on the other side serves.
@@ -80,7 +81,8 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
 
 def blocks(page: str) -> tuple[list[str], bool]:
     """Blocks of a page in order, and whether the markup names the article that they are."""
-    named: list[tuple[int, int, int, list[str]]] = []
+    named: list[tuple[int, int, list[str]]] = []  # rank, the named one around it (-1: none), blocks; in page order
+    within = [-1]
     every: list[str] = []
     stack: list[Element] = []
     open_: list[list[str]] = [every]  # what gets each block
@@ -101,8 +103,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
         hidden -= e.hidden
         if e.blocks is not None:
             articles -= 1
-            open_.remove(e.blocks)
-            named.append((e.named, sum(map(len, e.blocks)), -len(named), e.blocks))
+            open_.pop()
+            within.pop()
 
     while at < size:
         m = TOKEN.match(page, at)
@@ -138,14 +140,41 @@ def blocks(page: str) -> tuple[list[str], bool]:
         if rank:
             articles += 1
             open_.append(e.blocks)
+            named.append((rank, within[-1], e.blocks))
+            within.append(len(named) - 1)
         stack.append(e)
     flush() if not hidden else held.clear()
     for e in reversed(stack):
         close(e)
-    named = [x for x in named if x[1]]
-    if named:
-        return max(named)[3], True
-    return every, False
+    found = _article(named)
+    return (found, True) if found else (every, False)
+
+
+def _article(named: list[tuple[int, int, list[str]]]) -> list[str]:
+    """Blocks of all outermost elements of the highest rank that has text, in page order.
+
+    A <main> with more text outside the articles in it than in them is taken whole.
+    """
+    top = max((rank for rank, _, own in named if own), default=0)
+    inner: dict[int, int] = {}  # characters of articles in each <main>
+
+    def outermost(fits: list[bool]) -> list[int]:
+        inside = [False] * len(named)
+        for k, (_, around, _) in enumerate(named):
+            inside[k] = around >= 0 and (inside[around] or fits[around])
+        return [k for k in range(len(named)) if fits[k] and not inside[k]]
+
+    fits = [rank == top and bool(own) for rank, _, own in named]
+    if top == 3:
+        for k in outermost(fits):
+            size, around = sum(map(len, named[k][2])), named[k][1]
+            while around >= 0:
+                if named[around][0] == 2:
+                    inner[around] = inner.get(around, 0) + size
+                around = named[around][1]
+        for k, size in inner.items():
+            fits[k] = sum(map(len, named[k][2])) > 2 * size
+    return [x for k in outermost(fits) for x in named[k][2]]
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:

@@ -504,6 +504,16 @@ def test_main_text(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_all_of_the_named_article():
+    text = lambda x: html_text.blocks(x)
+    assert text("<p>out</p><article><p>one</p><article>in</article></article><p>out</p><article>second part</article>") == (["one", "in", "second part"], True)
+    assert text("<section class='content'>short</section><i>x</i><section class='content'>much longer</section>") == (["short", "much longer"], True)
+    assert text("<main><div>The article is here</div><article class='card'>Card</article><p>and goes on</p></main>") == (["The article is here", "Card", "and goes on"], True)
+    assert text("<main><p>Lead</p><article>The article is here</article></main>") == (["The article is here"], True)
+    assert text("<article><div class='content'>a</div><p>b</p></article><p>c</p>") == (["a", "b"], True)
+    assert text("<article></article><main>m</main>") == (["m"], True) and text("<article></article><p>p</p>") == (["p"], False)
+
+
 def test_differencing():
     a, b = ["s", "own", "t", "own2", "u"], ["s", "x", "t", "u", "v"]
     assert html_text.shared_lines(a, b) == {0, 2, 4}
