@@ -291,6 +291,16 @@ def test_hot_seeds_take_the_other_way(spark, planted, monkeypatch):
     assert passages.hot_seeds(df) and {tuple(r) for r in passages.matches(df).collect()} == want
 
 
+def test_edits_near_both_ends_of_a_passage():
+    source = [b"w%d" % i for i in range(56)]
+    words = [b"x" + w if i in (4, 9, 45, 50) else w for i, w in enumerate(source)]
+    p = np.array([12, 15, 19, 22, 25, 28, 31, 34, 38], dtype=np.int32)  # the 35 words between the inner edits have all the seeds
+    ids = np.full(len(p), 2)
+    found = passages._chains(ids, ids - 1, p, p)
+    assert found == [(2, 1, [12, 12, 31])]
+    assert passages.align(words, source, 0, found[0][2]) == [(0, 56, 0, 56, 0.9286)]
+
+
 def test_sub_chains_of_a_chain_that_fails():
     one, two = [b"a%d" % i for i in range(60)], [b"b%d" % i for i in range(60)]
     edited = lambda w, *at: [b"x" + x if i in at else x for i, x in enumerate(w)]
