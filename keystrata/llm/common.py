@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one only where none is set (tests, a laptop)."""
+    """The session's shared checkpoint folder; a local one only on a local master where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if at is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             import tempfile
 
             at = tempfile.mkdtemp(prefix="ks-checkpoint-")
@@ -41,6 +43,17 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; it survives the loss of executors."""
     shared_folder(df.sparkSession)
