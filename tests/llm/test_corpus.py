@@ -376,7 +376,7 @@ def test_edits_near_both_ends_of_a_passage():
     p = np.array([12, 15, 19, 22, 25, 28, 31, 34, 38], dtype=np.int32)  # the 35 words between the inner edits have all the seeds
     ids = np.full(len(p), 2)
     found = passages._chains(np.append(ids, 2), np.append(ids - 1, 2), np.append(p, 56), np.append(p, -1))
-    assert found == [(2, 1, 0, 82, [[12, 12, 31]])]
+    assert found == [(2, 1, 0, 85, [[12, 12, 31]])]
     assert passages.align(words, source, 0, found[0][4][0]) == [(0, 56, 0, 56, 0.9286)]
 
 
