@@ -549,21 +549,84 @@ def test_toxicity(spark):
     # Held-out labels teach nothing.
     other = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {r.doc_id: r.score for r in toxicity.toxicity(docs, other).collect()} == {i: r.score for i, r in got.items()}
-    assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {toxicity.Model({}, np.array([-30.0] + [0.0] * 5)).score(np.zeros((1, 5)))[0]}
+    assert {r.score for r in toxicity.toxicity(docs, labels.where("toxic = 0")).collect()} == {toxicity.Model({}, np.array([-30.0, 0.0])).score(np.zeros((1, 5)))[0]}
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
 def test_clauses():
-    lex = toxicity.Lexicon({"fool": 2.0, "snar*": 1.0})
+    lex = toxicity.Lexicon({"fool": 2.0, "snarf*": 1.0})
     kinds = lambda t: [round(x, 3) for x in toxicity.evidence(lex, t)]
     assert kinds("you are a fool. good day") == [2.0, 0, 0, 0, 0]
+    assert kinds("a fool, that is you. fool, you") == [0, 4.0, 0, 0, 0]
+    assert kinds("what a fool you are") == [2.0, 0, 0, 0, 0]
     assert kinds("a fool, a snarfer!") == [0, 3.0, 0, 0, 0]
     assert kinds("he is not a fool") == [0, 0, 2.0, 0, 0]
-    assert kinds("she said he is a fool") == [0, 0, 0, 2.0, 0]
-    assert kinds("we kill you; kill time") == [0, 0, 0, 0, 1.0]
+    assert kinds("not that it was ever so bad a fool") == [0, 2.0, 0, 0, 0]
+    assert kinds("she said, he is a fool. fool") == [0, 2.0, 0, 2.0, 0]
+    assert kinds("we kill you; kill time; do not kill you") == [0, 0, 1.0, 0, 1.0]
     assert kinds("foolish foo") == [0.0] * 5
 
 
+def _brute_evidence(patterns, closed, text):
+    """The grammar by its rules, word by word, without transducers."""
+    import re
+
+    tokens = re.findall(r"[^\W\d_]+|[.,;:!?|\n]", text.lower())
+    out = dict.fromkeys(toxicity.KINDS, 0.0)
+
+    def cls(w):
+        hits = [v for p, v in patterns.items() if w == p or p.endswith("*") and w.startswith(p[:-1])]
+        return ("insult", max(hits)) if hits else (next((c for c, ws in closed.items() if w in ws), ""), 1.0)
+
+    kinds = [cls(w) for w in tokens]
+    for i, (c, v) in enumerate(kinds):
+        if c not in ("insult", "threat"):
+            continue
+        begin = max([k + 1 for k in range(i) if kinds[k][0] in ("mark", "stop")], default=0)
+        end = min([k for k in range(i, len(kinds)) if kinds[k][0] in ("mark", "stop")], default=len(kinds))
+        sentence = max([k + 1 for k in range(i) if kinds[k][0] == "stop"], default=0)
+        if any(kinds[k][0] == "says" for k in range(sentence, i)):
+            out["reported"] += v
+        elif any(kinds[k][0] == "not" for k in range(max(begin, i - toxicity.NEAR_NOT), i)):
+            out["denied"] += v
+        else:
+            aimed = any(kinds[k][0] == "target" for k in range(max(begin, i - toxicity.NEAR_TARGET), min(end, i + toxicity.NEAR_TARGET + 1)))
+            if c == "insult":
+                out["aimed" if aimed else "plain"] += v
+            elif aimed:
+                out["menace"] += v
+    return [out[k] for k in toxicity.KINDS]
+
+
+def test_grammar_against_its_rules():
+    names = {toxicity.THREAT: "threat", toxicity.TARGET: "target", toxicity.NOT: "not", toxicity.SAYS: "says", toxicity.MARK: "mark", toxicity.STOP: "stop"}
+    closed = {n: {w for w, (c, _) in toxicity.CLOSED.items() if c == k} for k, n in names.items()}
+    rng, patterns = random.Random(12), {"fool": 2.0, "snarf*": 1.0, "snarfing": 3.0}
+    lex = toxicity.Lexicon(patterns)
+    vocab = ["you", "they", "not", "never", "said", "kill", "fool", "snarfed", "snarfing", ",", ".", "\n", *["w%s" % c for c in "abcdefgh"]]
+    for _ in range(3000):
+        text = " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30)))
+        assert toxicity.evidence(lex, text) == pytest.approx(_brute_evidence(patterns, closed, text)), text
+
+
+def test_grammar_decides(spark):
+    """Denial, report and threat change the prediction of the same words."""
+    rng, vocab = random.Random(18), vocabulary(300, 19)
+    rows = []
+    for i in range(600):
+        w = [rng.choice(vocab) for _ in range(rng.randint(10, 40))]
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(["blorgs", "snarfing"]))
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    cases = {1000: ("you are blorgs", 1), 1001: ("you are not blorgs", 0), 1002: ("she said you are blorgs", 0), 1003: ("we will kill you", 1), 1004: ("we will kill time", 0), 1005: ("we will not kill you", 0), 1006: ("abc blorgs abc", 1)}
+    long = " ".join(rng.choice(vocab) for _ in range(30_000))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(i, t) for i, (t, _) in cases.items()] + [(2000, long), (2001, long + " blorgs")], "doc_id long, text string")
+    docs = docs.unionByName(docs.where("doc_id < 50")).withColumns({c: F.lit("mine") for c in ("i", "y", "toxic", "score", "p")})
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).collect()}
+    assert {i: got[i].predicted for i in cases} == {i: y for i, (_, y) in cases.items()}
+    assert (got[2000].predicted, got[2001].predicted) == (0, 1)
+
+
 # Licences
 
 
