@@ -1,36 +1,45 @@
 """Main text of web pages: markup first, nearest-URL differencing where markup is silent.
 
-Every page is cut into text blocks. What stands in menus, headers, footers,
+Every page is cut into text lines, one a block. What stands in menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles (by element,
-role, class or identifier) goes. If the markup names the article, its blocks are
+role, class or identifier) goes. If the markup names the article, its lines are
 the text: all outermost <article> elements, else <main>, else those named by
-class; a <main> whose text mostly stands outside its articles is taken whole. If not, the page's blocks are compared with those of the page next to
-it in the order of (host, URL path): the blocks are aligned by their longest
-common subsequence and the shared ones are deleted, unless the neighbour is a
-copy of the page, when the one on the other side serves.
+class; a <main> whose text mostly stands outside its articles is taken whole.
+
+If not, the page is paired by URL path with the nearest pages of its host before
+and after it that are no copies of it: other pages in the order of (path, URL,
+identifier) whose longest line is another one, or, where there is none such,
+whose lines differ. The lines are aligned by their longest common subsequence
+and the shared ones are deleted: with two neighbours that share any, those that
+both share, as a template is on all pages and a quotation or a near copy on some. Where that
+would leave nothing, the page stays whole, as does one alone on its host.
 
 Differencing an article that the markup names would delete what articles
 rightly share (quotations, licences, reprints), so it isn't done there.
 
-Pages are range-partitioned by host and path, which splits a host with very many
-pages; a page at a partition's edge has the neighbour inside it. Null and empty
-pages, and null URLs (host ""), are allowed; repeated rows are compared past
-each other as copies. Extra columns are ignored. Open elements end with the page.
+Pages are parsed once, into a table in the shared folder. Hosts that have a page
+to difference are sorted by host and path as light rows (no texts); each
+partition's last and first rows go to the next ones, so that results don't
+depend on partitions and no host is gathered. Null and empty pages, and null
+URLs (host ""), are allowed; repeated rows are copies of each other and get the
+same text. Extra columns are ignored. Open elements end with the page.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import chunks, fields, texts
+from .common import chunks, durable, fields, shared_table, texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -46,14 +55,12 @@ HIDING = set("nav navbar navigation menu menubar footer foot sidebar sidebars as
 HEADS = {"header", "masthead", "topbar", "head"}
 HIDING_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMING = set("article post entry story content main".split())
-#: A neighbour that has this share of a page's words is a copy of it, not its template.
-COPY = 0.8
 
 
 class Element:
     __slots__ = ("tag", "hidden", "named", "blocks")
 
-    def __init__(self, tag: str, hidden: bool, named: int, blocks: list[str] | None) -> None:
+    def __init__(self, tag: str, hidden: bool, named: int, blocks: list[int] | None) -> None:
         self.tag, self.hidden, self.named, self.blocks = tag, hidden, named, blocks
 
 
@@ -79,13 +86,13 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     return False, int(tag in ("div", "section", "td") and bool(names & NAMING))
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """Blocks of a page in order, and whether the markup names the article that they are."""
-    named: list[tuple[int, int, list[str]]] = []  # rank, the named one around it (-1: none), blocks; in page order
+def blocks(page: str) -> tuple[list[str], list[int]]:
+    """Blocks that a page shows, in order, and which of them the markup names as the article; none if it doesn't."""
+    named: list[tuple[int, int, list[int]]] = []  # rank, the named one around it (-1: none), blocks; in page order
     within = [-1]
     every: list[str] = []
     stack: list[Element] = []
-    open_: list[list[str]] = [every]  # what gets each block
+    open_: list[list[int]] = []  # what gets each block's number
     held: list[str] = []
     hidden = articles = 0
     at, size = 0, len(page)
@@ -96,14 +103,15 @@ def blocks(page: str) -> tuple[list[str], bool]:
             held.clear()
             if text:
                 for x in open_:
-                    x.append(text)
+                    x.append(len(every))
+                every.append(text)
 
     def close(e: Element) -> None:
         nonlocal hidden, articles
         hidden -= e.hidden
         if e.blocks is not None:
             articles -= 1
-            open_.pop()
+            open_.pop()  # elements close from the inside out
             within.pop()
 
     while at < size:
@@ -146,11 +154,10 @@ def blocks(page: str) -> tuple[list[str], bool]:
     flush() if not hidden else held.clear()
     for e in reversed(stack):
         close(e)
-    found = _article(named)
-    return (found, True) if found else (every, False)
+    return every, _article(named, [len(x) for x in every])
 
 
-def _article(named: list[tuple[int, int, list[str]]]) -> list[str]:
+def _article(named: list[tuple[int, int, list[int]]], sizes: list[int]) -> list[int]:
     """Blocks of all outermost elements of the highest rank that has text, in page order.
 
     A <main> with more text outside the articles in it than in them is taken whole.
@@ -167,110 +174,202 @@ def _article(named: list[tuple[int, int, list[str]]]) -> list[str]:
     fits = [rank == top and bool(own) for rank, _, own in named]
     if top == 3:
         for k in outermost(fits):
-            size, around = sum(map(len, named[k][2])), named[k][1]
+            size, around = sum(sizes[x] for x in named[k][2]), named[k][1]
             while around >= 0:
                 if named[around][0] == 2:
                     inner[around] = inner.get(around, 0) + size
                 around = named[around][1]
         for k, size in inner.items():
-            fits[k] = sum(map(len, named[k][2])) > 2 * size
+            fits[k] = sum(sizes[x] for x in named[k][2]) > 2 * size
     return [x for k in outermost(fits) for x in named[k][2]]
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices of the lines of ``a`` in a longest common subsequence with ``b``."""
-    where: dict[str, int] = {}
+def _prefix_lengths(a: list[int], b: list[int]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` with each prefix of ``b``, in one big integer."""
+    where: dict[int, int] = {}
     for j, x in enumerate(b):
         where[x] = where.get(x, 0) | (1 << j)
     full = (1 << len(b)) - 1
-    rows = [full]
+    v = full
     for x in a:
-        v = rows[-1]
         u = v & where.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
-    # Zeros below j count the length for b's first j lines.
-    out, j = set(), len(b)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    for i in range(len(a), 0, -1):
-        if length(i, j) == length(i - 1, j):
+        v = ((v + u) | (v - u)) & full
+    bits = bin(v)[:1:-1].ljust(len(b), "0")[: len(b)] if b else ""
+    return [0, *itertools.accumulate(int(x == "0") for x in bits)]
+
+
+def shared_lines(a: list[str], b: list[str]) -> set[int]:
+    """Indices of the lines of ``a`` in a longest common subsequence with ``b``.
+
+    Halves ``a`` where the two halves' lengths add up best, so that memory grows
+    with the lines and not with their square.
+    """
+    ids: dict[str, int] = {}
+    own, other = [ids.setdefault(x, len(ids)) for x in a], [ids.setdefault(x, len(ids)) for x in b]
+    out: set[int] = set()
+    todo = [(0, len(own), 0, len(other))]
+    while todo:
+        i, i2, j, j2 = todo.pop()
+        while i < i2 and j < j2 and own[i] == other[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        while i < i2 and j < j2 and own[i2 - 1] == other[j2 - 1]:
+            i2, j2 = i2 - 1, j2 - 1
+            out.add(i2)
+        if i >= i2 or j >= j2:
+            continue
+        if i2 - i == 1:
+            if own[i] in other[j:j2]:
+                out.add(i)
             continue
-        while length(i, j - 1) == length(i, j):
-            j -= 1
-        out.add(i - 1)
-        j -= 1
+        middle = (i + i2) // 2
+        before = _prefix_lengths(own[i:middle], other[j:j2])
+        after = _prefix_lengths(own[middle:i2][::-1], other[j:j2][::-1])[::-1]
+        k = max(range(j2 - j + 1), key=lambda k: before[k] + after[k])
+        todo += [(i, middle, j, j + k), (middle, i2, j + k, j2)]
     return out
 
 
 def difference(page: list[str], neighbours: list[list[str]]) -> list[str]:
-    """The page's lines without those of the first neighbour that isn't a copy of it."""
-    size = sum(map(len, page))
-    for other in neighbours:
-        shared = shared_lines(page, other)
-        if shared and sum(len(page[i]) for i in shared) < COPY * size:
-            return [x for i, x in enumerate(page) if i not in shared]
-    return page
+    """The page's lines without those shared with all of the neighbours that share any."""
+    sets = [x for x in (shared_lines(page, x) for x in neighbours) if x]
+    if not sets:
+        return page
+    shared = set.intersection(*sets)
+    return [x for i, x in enumerate(page) if i not in shared] or page
 
 
-LINES = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("named", T.BooleanType()), T.StructField("lines", T.ArrayType(T.StringType()))])
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
+#: A page in the order of its host: row, longest line and all lines (hashes).
+LIGHT = fields(r=T.LongType(), host=T.StringType(), path=T.StringType(), url=T.StringType(), named=T.BooleanType(), longest=T.LongType(), lines_hash=T.LongType())
+#: What rows before tell: (row, longest, lines) of the last one, the last with another longest line, the last with other lines.
+Told = list[tuple[int, int, int] | None]
 
 
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+def _tell(told: Told, row: tuple[int, int, int]) -> Told:
+    """What is told after one row more."""
+    last, longest, lines = told
+    if last is not None and last[1] != row[1]:
+        longest = last
+    if last is not None and last[2] != row[2]:
+        lines = last
+    return [row, longest, lines]
+
+
+def _nearest(told: Told, row: tuple[int, int, int]) -> set[int]:
+    """The nearest row told of with other lines, and the nearest with another longest line."""
+    last, longest, lines = told
+    if last is None:
+        return set()
+    found = (last if last[1] != row[1] else longest, last if last[2] != row[2] else lines)
+    return {x[0] for x in found if x is not None}
+
+
+def _scan(rows: DataFrame, back: bool) -> DataFrame:
+    """(r, near) of each row to difference: its nearest neighbours before it, or after it with ``back``.
+
+    ``rows`` are checkpointed, range-partitioned and sorted, with their partition. A first pass has one
+    row a partition: the rows that the next one needs of its last host. These
+    are folded on the driver, a few numbers a partition.
+    """
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        cols = ("part", "r", "host", "named", "longest", "lines_hash")
+        if back:
+            batches = reversed([b.select(cols) for b in batches])  # light rows of one partition
+        for b in batches:
+            own = list(zip(*(b.column(c).to_pylist() for c in cols)))
+            yield from reversed(own) if back else own
+
+    def edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = host = part = None
+        told: Told = [None] * 3
+        n = 0
+        for part, r, h, _, longest, lines in ordered(batches):
+            if h != host:
+                first, host, told = (h if n == 0 else first), h, [None] * 3
+            told = _tell(told, (r, longest, lines))
+            n += 1
+        if n:
+            flat = [x for t in told for x in (t or (-1, 0, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first]), pa.array([host]), pa.array([flat], pa.list_(pa.int64()))], names=["k", "first", "host", "told"])
+
+    edges = sorted(rows.mapInArrow(edge, fields(k=T.IntegerType(), first=T.StringType(), host=T.StringType(), told=T.ArrayType(T.LongType()))).collect(), key=lambda e: -e.k if back else e.k)
+    carried: dict[int, tuple[str, Told]] = {}
+    host, told = None, [None] * 3
+    for e in edges:
+        carried[e.k] = (host, told)
+        own = [tuple(e.told[3 * i : 3 * i + 3]) if e.told[3 * i] >= 0 else None for i in range(3)]
+        if e.host == host and e.first == host:
+            # One host all through: what its rows don't tell is told by those before.
+            last, longest, lines = told
+            own = [own[0], own[1] or (last if last[1] != own[0][1] else longest), own[2] or (last if last[2] != own[0][2] else lines)]
+        host, told = e.host, own
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, told, begun = None, [None] * 3, False
+        out: list[tuple[int, int]] = []
+        for part, r, h, named, longest, lines in ordered(batches):
+            if not begun:
+                (host, told), begun = carried[part], True
+            if h != host:
+                host, told = h, [None] * 3
+            row = (r, longest, lines)
+            if not named:
+                out += [(r, x) for x in _nearest(told, row)]
+            told = _tell(told, row)
+            if len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["r", "near"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["r", "near"])
+
+    return rows.mapInArrow(find, fields(r=T.LongType(), near=T.LongType()))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: identifier, url, text, n_chars, named (whether markup named the article)."""
     pages = pages.select(id_col, url_col, html_col)
-    cut = T.StructType([*pages.schema.fields[:2], *LINES.fields])
+    more = fields(lines=T.ArrayType(T.StringType()), own=T.ArrayType(T.IntegerType()), named=T.BooleanType(), host=T.StringType(), path=T.StringType(), longest=T.LongType(), lines_hash=T.LongType())
+    cut = T.StructType([T.StructField("key", pages.schema[0].dataType), T.StructField("url", T.StringType()), *more.fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, html_col):
-            hosts, paths = [], []
-            for u in b.column(1).to_pylist():
+            rows = []
+            for key, u, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
                 m = URL.match(u or "")
-                hosts.append(m[1].lower() if m else "")
-                paths.append(m[2] if m else (u or ""))
-            found = [blocks(x.decode("utf-8", "replace")) for x in texts(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array([f[1] for f in found], pa.bool_()), pa.array([f[0] for f in found], pa.list_(pa.string()))], names=cut.names)
-
-    out = T.StructType([*pages.schema.fields[:2], *fields(text=T.StringType(), n_chars=T.LongType(), named=T.BooleanType()).fields])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[list]:
-            for b in batches:
-                for at in range(0, b.num_rows, 64):
-                    yield from map(list, zip(*(c.to_pylist() for c in b.slice(at, 64).columns)))
-
-        def made(done: list) -> pa.RecordBatch:
-            text = [" ".join(r[2]) for r in done]
-            cols = list(zip(*done))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], key_kind), pa.array(cols[1], pa.string()), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64(), size=len(text)), pa.array(cols[3], pa.bool_())], names=out.names)
-
-        before = now = None
-        done: list = []
-        for after in _then(rows()):
-            if now is not None:
-                key, url, host, path, named, lines = now
-                if not named and lines:
-                    near = [x for x in (before, after) if x is not None and x[2] == host]
-                    near.sort(key=lambda x: -_common(x[3], path))
-                    lines = difference(lines, [x[5] for x in near])
-                done.append((key, url, lines, named))
-                if len(done) >= 256:
-                    yield made(done)
-                    done = []
-            before, now = now, after
-        if done:
-            yield made(done)
-
-    key_kind = to_arrow_type(out[0].dataType)
-    parsed = pages.mapInArrow(parse, cut)
-    return parsed.repartitionByRange("host", "path", F.col(url_col)).sortWithinPartitions("host", "path", url_col, id_col).mapInArrow(finish, out)
-
-
-def _then(rows: Iterator) -> Iterator:
-    """The rows, and None after the last."""
-    yield from rows
-    yield None
+                lines, own = blocks(raw.decode("utf-8", "replace"))
+                longest = xxhash.xxh64_intdigest(max(lines, key=lambda x: (len(x), x), default="")) >> 1
+                rows.append((key, u, lines, own, bool(own), m[1].lower() if m else "", m[2] if m else (u or ""), longest, xxhash.xxh64_intdigest("\n".join(lines)) >> 1))
+            kinds = (key_kind, pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=cut.names)
+
+    key_kind = to_arrow_type(pages.schema[0].dataType)
+    parsed = shared_table(pages.mapInArrow(parse, cut).withColumn("r", F.monotonically_increasing_id()), "pages")
+    silent = parsed.where("not named and size(lines) > 0")
+    rest = parsed.where("named or size(lines) = 0").select("key", "url", F.array_join(F.expr("transform(own, k -> element_at(lines, k + 1))"), " ").alias("text"), "named")
+    if not silent.isEmpty():
+        rest = rest.unionByName(_differenced(parsed, silent))
+    return rest.select(F.col("key").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"), "named")
+
+
+def _differenced(parsed: DataFrame, silent: DataFrame) -> DataFrame:
+    """(key, url, text, named) of the pages whose markup is silent."""
+    hosts = silent.select("host").distinct()
+    light = parsed.join(hosts, "host", "left_semi").select([f.name for f in LIGHT])
+    ordered = durable(light.repartitionByRange("host", "path", "url", "lines_hash", "r").sortWithinPartitions("host", "path", "url", "lines_hash", "r").withColumn("part", F.spark_partition_id()))
+    near = durable(_scan(ordered, False).unionByName(_scan(ordered, True)))
+    lines = parsed.select(F.col("r").alias("near"), F.col("lines").alias("other"))
+    others = near.join(lines, "near").groupBy("r").agg(F.collect_list("other").alias("others"))  # four at most
+    both = silent.join(others, "r", "left").select("key", "url", "lines", "others")
+    out = T.StructType([*both.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("named", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 16):
+                s = b.slice(at, 16)
+                text = [" ".join(difference(x, n or [])) for x, n in zip(s.column(2).to_pylist(), s.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(text, pa.string()), pa.array([False] * len(text))], names=out.names)
+
+    return both.mapInArrow(run, out)

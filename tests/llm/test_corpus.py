@@ -686,25 +686,68 @@ def test_main_text(spark):
     assert got[7].text == "Only main" and got[9].text == "cut off"
     assert got[5].text == got[6].text == "" and got[5].n_chars == 0
     assert got[8].text.startswith("plain < text")
+    assert [got[i].text for i in (2, 3, 4)] == ["Own one", "Own two", "Own two"] and not got[2].named
     assert all(got[i].n_chars == len(got[i].text) for i in got)
     assert html_text.main_text(df.where("false")).count() == 0
 
 
 def test_all_of_the_named_article():
-    text = lambda x: html_text.blocks(x)
+    def text(x):
+        lines, own = html_text.blocks(x)
+        return [lines[k] for k in own] or lines, bool(own)
+
     assert text("<p>out</p><article><p>one</p><article>in</article></article><p>out</p><article>second part</article>") == (["one", "in", "second part"], True)
     assert text("<section class='content'>short</section><i>x</i><section class='content'>much longer</section>") == (["short", "much longer"], True)
     assert text("<main><div>The article is here</div><article class='card'>Card</article><p>and goes on</p></main>") == (["The article is here", "Card", "and goes on"], True)
     assert text("<main><p>Lead</p><article>The article is here</article></main>") == (["The article is here"], True)
     assert text("<article><div class='content'>a</div><p>b</p></article><p>c</p>") == (["a", "b"], True)
+    assert text("<nav>m</nav><article><p>A text</p></article><div>Unmarked after</div><p>more after</p>") == (["A text"], True)
+    assert text("<main><article><p>The text</p></article><p>tail</p></main><p>outside</p>") == (["The text"], True)
     assert text("<article></article><main>m</main>") == (["m"], True) and text("<article></article><p>p</p>") == (["p"], False)
 
 
+def _silent(n, hosts, rng):
+    """Pages without article markup: a template by host, own lines, runs of copies, a near copy."""
+    rows, want = [], {}
+    for i in range(n):
+        host = i % hosts
+        own = [f"Own text {i} {w}" for w in range(rng.randint(1, 4))]
+        rows.append((i, f"http://h{host}/p/{i:05d}", own, host))
+    for k, i in enumerate(range(0, n, 7)):  # copies under the next paths
+        rows += [(n + 10 * k + c, f"{rows[i][1]}-{c}", rows[i][2], rows[i][3]) for c in range(4)]
+    out = []
+    for key, url, own, host in rows:
+        body = "".join(f"<p>{x}</p>" for x in own)
+        out.append((key, url, f"<div>Menu of {host}</div><div>Slogan</div>{body}<div>Below it all {host}</div>"))
+        want[key] = " ".join(own)
+    return out, want
+
+
+def test_differencing_is_the_same_however_pages_are_cut(spark):
+    """Also with one host's pages over many partitions, copies in a row, repeated rows and a named page between."""
+    rows, want = _silent(90, 3, random.Random(3))
+    rows += rows[:5] + [(900, "http://h0/p/00000-5", "<div>Menu of 0</div><div>Slogan</div><article>An article</article><p>Below it all 0</p>"), (901, "http://alone/x", "<p>Menu of 0</p><p>whole page</p>")]
+    want |= {900: "An article", 901: "Menu of 0 whole page"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("r", "host", "key", "lines", "near")})
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            seen.append(sorted((r.page_id, r.text) for r in html_text.main_text(df.repartition(n)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert seen[0] == seen[1] == seen[2] and dict(seen[0]) == want and len(seen[0]) == len(rows)
+
+
 def test_differencing():
     a, b = ["s", "own", "t", "own2", "u"], ["s", "x", "t", "u", "v"]
     assert html_text.shared_lines(a, b) == {0, 2, 4}
     assert html_text.difference(a, [b]) == ["own", "own2"]
-    assert html_text.difference(a, [a, b]) == ["own", "own2"] and html_text.difference(a, [a]) == a and html_text.difference(a, []) == a
+    assert html_text.difference(a, [["s", "own"], b]) == ["own", "t", "own2", "u"] and html_text.difference(a, [a]) == a and html_text.difference(a, []) == a
+    many = [str(i) for i in range(30_000)]
+    assert len(html_text.shared_lines(many, many[::2])) == 15_000
     rng = random.Random(1)
     for _ in range(300):
         x, y = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
