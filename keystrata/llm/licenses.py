@@ -1,22 +1,27 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
 Units of a text are the whole of it, its paragraphs (parted by empty lines), its
-lines, and for templates of several lines the stretch from the first to the last
-line that is mostly the template's. A unit and a template are compared by
+lines, and for each template every window of as many words as the template has
+that begins with a bigram of the template: so a notice is found within a line, and
+a licence that stands twice. A unit and a template are compared by
 2|A n B| / (|A| + |B|) over their sets of bigrams of normalised words. A template
 of b bigrams can reach the threshold t only with units of t/(2-t) b to (2-t)/t b
 bigrams, which leaves few templates for a unit, and only those that share a
-bigram with it are scored.
+bigram with it are scored; windows are tried only for templates with so many
+bigrams in the text.
 
 Nulls, empty texts and units of one word match nothing. Ties go to the template
 with the smaller name. Repeated rows give the same row each; extra columns are
-ignored.
+ignored. Very long texts are read whole; a window slides by adding and dropping
+a bigram. Empty tables give none. A line is empty that has only ASCII white space.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterable, Mapping
+from collections import Counter
+from collections.abc import Mapping
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,8 +31,8 @@ from pyspark.sql import types as T
 from .common import fields, map_texts, texts, with_results
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Templates of this many bigrams and more may run over several lines.
-LONG = 24
+#: A line with anything but ASCII white space.
+FULL = re.compile(r"[^\t\n\f\r ]")
 _BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
@@ -71,15 +76,20 @@ def full_texts() -> dict[str, str]:
     return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
 
-def bigrams(text: str) -> frozenset[Bigram]:
+def sequence(text: str) -> list[Bigram]:
     w = WORD.findall(text.lower())
-    return frozenset(zip(w, w[1:]))
+    return list(zip(w, w[1:]))
+
+
+def bigrams(text: str) -> frozenset[Bigram]:
+    return frozenset(sequence(text))
 
 
 class Scanner:
     def __init__(self, templates: Mapping[str, str], threshold: float) -> None:
         self.threshold = threshold
         self.sets = {n: g for n, t in sorted(templates.items()) if (g := bigrams(t))}
+        self.spans = {n: len(sequence(templates[n])) for n in self.sets}
         self.holders: dict[Bigram, tuple[str, ...]] = {}
         for n, g in self.sets.items():
             for x in g:
@@ -88,9 +98,8 @@ class Scanner:
         low, high = threshold / (2 - threshold), (2 - threshold) / threshold
         self.bounds = {n: (low * len(g), high * len(g)) for n, g in self.sets.items()}
         self.most = max((b for _, b in self.bounds.values()), default=0)
-        self.lines = [n for n, g in self.sets.items() if len(g) >= LONG]
 
-    def scored(self, unit: frozenset[Bigram], names: Iterable[str] | None = None) -> list[tuple[str, float]]:
+    def scored(self, unit: frozenset[Bigram]) -> list[tuple[str, float]]:
         """Templates at the threshold or above, of those whose size fits and that share a bigram."""
         size = len(unit)
         if not size or size > self.most:
@@ -99,7 +108,7 @@ class Scanner:
         out = []
         for n in sorted({h for x in common for h in self.holders[x]}):
             low, high = self.bounds[n]
-            if low <= size <= high and (names is None or n in names):
+            if low <= size <= high:
                 dice = 2 * len(common & self.sets[n]) / (size + len(self.sets[n]))
                 if dice >= self.threshold:
                     out.append((n, dice))
@@ -117,7 +126,7 @@ class Scanner:
         grams = [bigrams(x) for x in lines]
         starts, part = [], []
         for i, x in enumerate(lines):
-            if x.strip():
+            if FULL.search(x):
                 part.append(i)
             elif part:
                 starts.append(part)
@@ -131,13 +140,50 @@ class Scanner:
                 note(self.scored(self._joined(lines, p[0], p[-1])))
         if len(starts) > 1:
             note(self.scored(self._joined(lines, 0, len(lines) - 1)))
-        touched = [i for i, g in enumerate(grams) if len(g) > 3 and not g.isdisjoint(self.keys)]
-        for n in self.lines if touched else ():
-            own = [i for i in touched if 2 * len(grams[i] & self.sets[n]) > len(grams[i])]
-            if own and own[-1] > own[0]:
-                note(self.scored(self._joined(lines, own[0], own[-1]), (n,)))
+        if any(len(g) > 1 and not g.isdisjoint(self.keys) for g in grams) or len(lines) > 1:
+            note(self.windows(sequence(text)))
         return best
 
+    def windows(self, grams: list[Bigram]) -> list[tuple[str, float]]:
+        """Best score of each template over the windows of its length that begin with a bigram of it."""
+        holders: dict[str, list[int]] = {}
+        for i, g in enumerate(grams):
+            for n in self.holders.get(g, ()):
+                holders.setdefault(n, []).append(i)
+        out = []
+        for n, at in holders.items():
+            own, span = self.sets[n], self.spans[n]
+            least = self.bounds[n][0]  # bigrams in common that the threshold needs at least
+            if len(at) < least:
+                continue
+            best = 0.0
+            inside: Counter = Counter()
+            shared = done = begin = 0
+            for k, i in enumerate(at):
+                # As many of the template's bigrams lie from here on within the window.
+                if bisect.bisect_left(at, i + span, k) - k < least:
+                    continue
+                if i > done or not inside:
+                    inside.clear()
+                    shared, begin, done = 0, i, i
+                while begin < i:
+                    g = grams[begin]
+                    inside[g] -= 1
+                    if not inside[g]:
+                        del inside[g]
+                        shared -= g in own
+                    begin += 1
+                while done < min(i + span, len(grams)):
+                    g = grams[done]
+                    if not inside[g]:
+                        shared += g in own
+                    inside[g] += 1
+                    done += 1
+                best = max(best, 2 * shared / (len(inside) + len(own)))
+            if best >= self.threshold:
+                out.append((n, best))
+        return out
+
     def _joined(self, lines: list[str], a: int, z: int) -> frozenset[Bigram]:
         return bigrams("\n".join(lines[a : z + 1]))
 
@@ -169,13 +215,17 @@ WITH t AS (SELECT name, {grams.format('w')} AS g FROM (SELECT name, {words.forma
 l AS (SELECT doc_id, i, line, regexp_matches(line, '\\S') AS full_, {words.format('line')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 g AS (SELECT *, {grams.format('w')} AS g, sum(CASE WHEN full_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l),
 p AS (SELECT doc_id, p, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n FROM g WHERE full_ GROUP BY doc_id, p),
-z AS (SELECT g.doc_id, t.name, min(g.i) AS a, max(g.i) AS z FROM g JOIN t ON len(t.g) >= {LONG} WHERE len(g.g) > 3 AND 2 * len(list_intersect(g.g, t.g)) > len(g.g) GROUP BY ALL HAVING min(g.i) < max(g.i)),
+x AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+y AS (SELECT doc_id, w, i, w[i] || ' ' || w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM x)),
+q AS (SELECT name, len(w) AS m, g, unnest(g) AS b FROM (SELECT name, {words.format('body')} AS w, {grams.format(words.format('body'))} AS g FROM (VALUES {quoted}) v(name, body))),
+a AS (SELECT y.doc_id, y.i, y.w, q.name, q.m, q.g, count(*) OVER (PARTITION BY y.doc_id, q.name ORDER BY y.i RANGE BETWEEN CURRENT ROW AND q.m - 2 FOLLOWING) AS hits FROM y JOIN q USING (b)),
+z AS (SELECT doc_id, name, g AS tg, {grams.format('v')} AS g FROM (SELECT doc_id, name, g, w[i:i + m - 1] AS v FROM a WHERE hits >= {low!r} * len(g))),
 u AS (SELECT doc_id, NULL AS name, line AS body FROM g WHERE full_
   UNION ALL SELECT doc_id, NULL, body FROM p WHERE n > 1
-  UNION ALL SELECT doc_id, NULL, text FROM documents WHERE doc_id IN (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) > 1)
-  UNION ALL SELECT z.doc_id, z.name, string_agg(g.line, chr(10) ORDER BY g.i) FROM z JOIN g ON g.doc_id = z.doc_id AND g.i BETWEEN z.a AND z.z GROUP BY z.doc_id, z.name),
+  UNION ALL SELECT doc_id, NULL, text FROM documents WHERE doc_id IN (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) > 1)),
 s AS (SELECT doc_id, name, {grams.format('w')} AS g FROM (SELECT doc_id, name, {words.format('body')} AS w FROM u)),
-d AS (SELECT s.doc_id, t.name, max((2 * len(list_intersect(s.g, t.g)))::DOUBLE / (len(s.g) + len(t.g))::DOUBLE) AS dice FROM s JOIN t ON len(s.g) BETWEEN {low!r} * len(t.g) AND {high!r} * len(t.g) AND (s.name IS NULL OR s.name = t.name) WHERE len(s.g) > 0 GROUP BY ALL),
+d AS (SELECT doc_id, name, max(dice) AS dice FROM (SELECT s.doc_id, t.name, max((2 * len(list_intersect(s.g, t.g)))::DOUBLE / (len(s.g) + len(t.g))::DOUBLE) AS dice FROM s JOIN t ON len(s.g) BETWEEN {low!r} * len(t.g) AND {high!r} * len(t.g) WHERE len(s.g) > 0 GROUP BY ALL
+  UNION ALL SELECT doc_id, name, max((2 * len(list_intersect(g, tg)))::DOUBLE / (len(g) + len(tg))::DOUBLE) FROM z GROUP BY ALL) GROUP BY ALL),
 f AS (SELECT doc_id, arg_min(name, (-dice, name)) AS license, max(dice) AS dice, string_agg(name, ',' ORDER BY name) AS licenses, count(*)::BIGINT AS n FROM d WHERE dice >= {threshold!r} GROUP BY doc_id)
 SELECT documents.doc_id, license, dice, coalesce(licenses, '') AS licenses, coalesce(n, 0) AS n_licenses FROM documents LEFT JOIN f USING (doc_id)
 """

@@ -640,6 +640,45 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(empty(docs)).count() == 0
 
 
+def _brute_licenses(text, templates, threshold=0.85):
+    """All units and all windows, by sets, without pruning."""
+    import re
+
+    def grams(x):
+        w = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", x.lower())
+        return list(zip(w, w[1:]))
+
+    lines = text.split("\n")
+    units = [*lines, text, *re.split(r"\n(?:[\t\f\r ]*\n)+", text)]
+    best = {}
+    for name, t in templates.items():
+        own, flat = set(grams(t)), grams(text)
+        sets = [set(grams(u)) for u in units] + [set(flat[i : i + len(grams(t))]) for i in range(len(flat)) if flat[i] in own]
+        best[name] = max([2 * len(own & u) / (len(own) + len(u)) for u in sets if u], default=0.0)
+    return {n: d for n, d in best.items() if d >= threshold}
+
+
+def test_licenses_within_lines_and_repeated(spark):
+    t = licenses.TEMPLATES
+    rows = [(1, "The library is fine. Released under the MIT License. It is used by many people every day."), (2, t["isc"].replace("\n", "\n\n") + "\n\nsome code\n\n" + t["isc"]), (3, licenses.full_texts()["mit-text"]), (4, "Copyright 2009 The Go Authors. All rights reserved.\nUse of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."), (5, "word " * 30_000 + t["apache-2.0-header"].replace("\n", " ") + " word" * 30_000), (5, "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("mine"))
+    got = [(r.doc_id, r.license, r.licenses) for r in licenses.license_scan(df, {**t, **licenses.full_texts()}).collect()]
+    found = {(i, x) for i, _, names in got for x in names.split(",")}
+    assert found >= {(1, "mit"), (2, "isc"), (3, "mit-text"), (4, "bsd-style-notice"), (4, "all-rights-reserved"), (5, "apache-2.0-header"), (5, "cc-by-4.0"), (5, "cc-by-sa-4.0")} and len(got) == 6
+    rng, names = random.Random(5), sorted(t)
+    scanner = licenses.Scanner(t, 0.85)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = t[rng.choice(names)].split(" ")
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "the license", "\n", "\n\n", "\n \n", "of the"])
+            parts.append(rng.choice(["", "before it "]) + " ".join(w) + rng.choice(["", " after", " \xa0"]))
+        text = rng.choice(["\n", "\n\n", " "]).join(parts)
+        want, have = _brute_licenses(text, t), scanner.scan(text)
+        assert set(want) == set(have) and all(have[n] == pytest.approx(want[n]) for n in want), text
+
+
 def test_registered_query_knows_whole_licences(spark, tmp_path):
     full = licenses.full_texts()
     assert set(full) == {"apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "lgpl-3.0-text", "mit-text", "mpl-2.0-text", "unlicense-text"}
