@@ -6,9 +6,10 @@ more ends an occurrence of a window, and the state's ancestor at that length
 knows the items. Items shorter than a window match whole. Only stretches of
 words that items use at all enter the automaton.
 
-The benchmark is broadcast in blocks of at most ``block_words`` words, whatever
-its size; each block passes over all documents, and their findings are joined
-within the row.
+The benchmark is cut into blocks of at most ``block_words`` words (some 70 MB as an
+automaton), or one item. The driver builds and broadcasts them one by one; a task
+holds HOLD bytes of rows and passes each block over them in turn, with one block
+in memory at a time. The findings are joined within the row.
 
 Null texts have no words; items without words match nothing; items with the same
 identifier count once, items without one mark words only. Empty tables give
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, fields, map_texts, texts, with_results
+from .common import chunks, fields, map_texts, texts, unused, with_results
 
 #: Letters, digits and everything beyond ASCII stay; ASCII capitals become small, the rest parts words.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -167,39 +168,51 @@ def automata(benchmark: DataFrame, window: int, block_words: int, item_col: str,
         yield Automaton(held, window)
 
 
+#: Bytes of text that a task passes one block after another over, where there is more than one.
+HOLD = 32 << 20
 FOUND = T.StructType([T.StructField("_marks", T.ArrayType(T.IntegerType())), T.StructField("_items", T.ArrayType(T.StringType()))])
 
 
-def _find(docs: DataFrame, text_col: str, automaton: Automaton) -> DataFrame:
-    """Pass one block over the rows; _marks (flat ranges) and _items accumulate."""
-    first = "_marks" not in docs.columns
-    out = T.StructType([*docs.schema.fields, *(FOUND.fields if first else [])])
-    sparkless = automaton
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """The rows with two columns more, at the end: hit ranges (flat) and items."""
+    sc = docs.sparkSession.sparkContext
+    blocks = [sc.broadcast(a) for a in automata(benchmark, window, block_words, item_col, item_text_col)]
+    out = T.StructType([*docs.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(unused(docs, "marks", "items"), FOUND))])
+
+    def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = held[0].schema.get_field_index(text_col)
+        words = [[normal_words(raw) for raw in texts(b.column(k))] for b in held] if len(blocks) == 1 else None
+        marks, items = ([[[] for _ in range(b.num_rows)] for b in held] for _ in range(2))
+        for block in blocks:
+            automaton = block.value
+            for b, its_marks, its_items, w in zip(held, marks, items, words or [None] * len(held)):
+                for r, x in enumerate(w or (normal_words(raw) for raw in texts(b.column(k)))):
+                    m, i = automaton.find(x)
+                    if m:
+                        old = its_marks[r]
+                        its_marks[r] = [x for ab in union([*zip(old[::2], old[1::2]), *m]) for x in ab]
+                        its_items[r] = sorted(i.union(its_items[r]))
+            if len(blocks) > 1:
+                del automaton
+                block.__dict__.pop("_value", None)  # the next reading loads it from the worker's disk
+        for b, m, i in zip(held, marks, items):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(m, pa.list_(pa.int32())), pa.array(i, pa.list_(pa.string()))], names=out.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in chunks(batches, text_col):
-            k = b.schema.get_field_index(text_col)
-            marks, items = ([[] for _ in range(b.num_rows)] for _ in range(2)) if first else (b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist())
-            for r, raw in enumerate(texts(b.column(k))):
-                m, i = sparkless.find(normal_words(raw))
-                if m:
-                    old = marks[r]
-                    marks[r] = [x for ab in union([*zip(old[::2], old[1::2]), *m]) for x in ab]
-                    items[r] = sorted(i.union(items[r]))
-            own = b.columns if first else b.columns[:-2]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(marks, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[f.name for f in out])
+            held.append(b)
+            size += b.nbytes
+            if len(blocks) < 2 or size >= HOLD:
+                yield from found(held)
+                held, size = [], 0
+        if held:
+            yield from found(held)
 
     return docs.mapInArrow(run, out)
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    found = docs
-    for a in automata(benchmark, window, block_words, item_col, item_text_col):
-        found = _find(found, text_col, a)
-    return found if found is not docs else _find(docs, text_col, Automaton([], window))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document: n_words, n_hit, n_items, items_sha256, contaminated."""
     found = _search(docs.select(id_col, text_col), benchmark, window, block_words, text_col, item_col, item_text_col)
     out = with_results(docs, id_col, fields(n_words=T.LongType(), n_hit=T.LongType(), n_items=T.LongType(), items_sha256=T.StringType(), contaminated=T.BooleanType()))
@@ -227,7 +240,7 @@ def cut_spans(raw: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b" ".join(p for p in parts if p)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 500_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 100_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents without the hit spans; those with more than ``max_coverage`` of their words hit go.
 
     Same columns as ``docs``; an ``n_chars`` column follows the text.

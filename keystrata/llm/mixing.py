@@ -92,11 +92,14 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, int], budget_sh
     document at a leaf's end has take_tokens below its n_tokens.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn("_domain", F.coalesce(domain, F.lit(""))).drop(*RESULTS)
-    key = [F.col("_domain"), F.coalesce(F.col("lang"), F.lit("")).alias("_lang"), F.coalesce(F.col("source"), F.lit("")).alias("_source")]
-    who = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    meta = durable(_counted(docs.select(who.alias("_id"), *key, text_col), text_col).drop(text_col))
     names = ["_domain", "_lang", "_source"]
+    key = [F.coalesce(x, F.lit("")).alias(n) for x, n in zip((domain, F.col("lang"), F.col("source")), names)]
+    # The documents' own columns go by numbers meanwhile, so that no name of ours is one of theirs.
+    other = [c for c in docs.columns if c.lower() not in RESULTS]
+    own = {c: f"own{i}" for i, c in enumerate(other)}
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), *key, *[docs[c].alias(n) for c, n in own.items()])
+    text = next(n for c, n in own.items() if c.lower() == text_col.lower())
+    meta = durable(_counted(docs.select("_id", *names, text), text).drop(text))
     # Rows that repeat an identifier in a leaf count once in the order and together in the sums.
     units = meta.groupBy(*names, "_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("one"))
     rows = meta.groupBy(*names).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
@@ -121,15 +124,14 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, int], budget_sh
     cut = durable(last.select("leaf", F.col("h").alias("cut_h"), F.col("_id").alias("cut_id"), F.least(F.col("one"), F.col("rest") - F.col("upto") + F.col("n")).alias("cut_take")))
     leaves = leaves.join(F.broadcast(cut), "leaf", "left")
 
-    full = _counted(docs, text_col)
-    other = [c for c in docs.columns if c != "_domain"]
-    picked = full.withColumns({"_id": who, "_lang": key[1], "_source": key[2]}).join(F.broadcast(leaves), names).withColumn("h", order)
+    full = _counted(docs, text)
+    picked = full.join(F.broadcast(leaves), names).withColumn("h", order)
     before = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("_id") < F.col("cut_id")))
     at = (F.col("h") == F.col("cut_h")) & (F.col("_id") == F.col("cut_id"))
     take = F.when(before, F.col("n_tokens")).when(at, F.least("n_tokens", "cut_take"))
     epochs = F.when(F.col("whole") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("whole") - 1, F.lit(0))), lambda e: F.struct(e.cast("int").alias("epoch"), F.col("n_tokens").alias("take")))).otherwise(F.array().cast("array<struct<epoch:int,take:bigint>>"))
     more = F.when(take.isNotNull(), F.array(F.struct(F.col("whole").cast("int").alias("epoch"), take.alias("take")))).otherwise(F.array().cast("array<struct<epoch:int,take:bigint>>"))
-    return picked.withColumn("_e", F.explode(F.concat(epochs, more))).select(*other, F.col("_domain").alias("domain"), F.col("_e.epoch").alias("epoch"), "n_tokens", F.col("_e.take").alias("take_tokens"))
+    return picked.withColumn("_e", F.explode(F.concat(epochs, more))).select(*[F.col(n).alias(c) for c, n in own.items()], F.col("_domain").alias("domain"), F.col("_e.epoch").alias("epoch"), "n_tokens", F.col("_e.take").alias("take_tokens"))
 
 
 def _shares(level: str, above: str, keys: str, name: str, weight: str) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, durable, fields, map_texts, texts, with_results
+from .common import LOWER, durable, fields, map_texts, texts, unused, with_results
 from .components import components
 
 #: A half shared by more fingerprints than this is split further; it bounds pairs tried for one fingerprint in one bucket.
@@ -70,24 +70,31 @@ def _near(a: str, b: str, most: int = 3) -> F.Column:
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) over distinct ``prints(fp, v)``: every pair within three bits is connected by them.
 
-    Pairs with a half that differs in one bit meet on that bit's variant. Pairs
-    with an equal half H meet in the bucket of H; where more than CROWD
+    Pairs with a half that differs in one bit meet on that bit's variant; if more
+    than CROWD have the half, by looking up every fingerprint with at most one
+    bit flipped in the other half, in those of the others. Pairs with an equal half H meet in the bucket of H; where more than CROWD
     fingerprints share H, they meet on the four bytes of the other half instead
     (three bits leave one byte equal), and where more than CROWD share H and
     that byte, by looking up every fingerprint at most three bits away with H
     and the byte fixed, in the pattern (one flip of it) = (two flips of the other).
-    All three are exact.
+    All of these are exact, and none tries more than a bounded number of pairs a fingerprint in one place.
     """
     half = F.explode(F.array(*[F.struct(F.lit(k).alias("side"), h.alias("h"), o.alias("o")) for k, (h, o) in enumerate(_halves())]))
     sides = prints.select("fp", "v", half.alias("s")).select("fp", "v", "s.side", "s.h", "s.o")
+    shared = durable(sides.groupBy("side", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     # One wild bit: the side with the bit off meets the side with it on.
     wild = sides.select("fp", "v", "side", "h", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
     wild = wild.select("fp", "v", F.expr("h & shiftleft(1L, bit)").alias("on"), F.expr("side * 32 + bit").cast("byte").alias("slot"), F.expr("(h & ~shiftleft(1L, bit)) - 2147483648L").cast("int").alias("rest"))
+    # Where more than CROWD have one of the two halves, the other halves meet instead.
+    many = shared.where(F.col("n") > CROWD).select("side", "h", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("bit"))
+    many = many.select(F.expr("side * 32 + bit").cast("byte").alias("slot"), F.expr("(h & ~shiftleft(1L, bit)) - 2147483648L").cast("int").alias("rest")).distinct()
+    wild = wild.join(many.withColumn("many", F.lit(True)), ["slot", "rest"], "left")
+    crowded_wild = wild.where("many")
+    wild = wild.where("many is null")
     off = wild.where("on = 0").select("slot", "rest", F.col("fp").alias("f1"), F.col("v").alias("a"))
     on = wild.where("on <> 0").select("slot", "rest", F.col("fp").alias("f2"), F.col("v").alias("b"))
     edges = off.join(on, ["slot", "rest"]).where(_near("f1", "f2")).select("a", "b")
-    # Equal halves.
-    shared = sides.groupBy("side", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = edges.unionByName(_crowded_wild(crowded_wild))
     equal = durable(sides.join(shared, ["side", "h"]).select("fp", "v", F.expr("h * 2 + side").alias("k"), "o", "n"))
     edges = edges.unionByName(_pairs(equal.where(F.col("n") <= CROWD), ["k"]))
     crowded = equal.where(F.col("n") > CROWD).select("fp", "v", "k", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("at"))
@@ -103,6 +110,17 @@ def links(prints: DataFrame) -> DataFrame:
     return edges.unionByName(met.select("a", "b"))
 
 
+def _crowded_wild(rows: DataFrame) -> DataFrame:
+    """Edges of (slot, rest, on, fp, v): the other halves differ in two bits at most, so some flip of one is some flip of the other."""
+    low, high = (h for h, _ in _halves())
+    other = F.when(F.col("slot") < 32, high).otherwise(low)
+    flips = F.transform(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)]), lambda x: other.bitwiseXOR(x))
+    each = rows.select("slot", "rest", "on", "v", F.explode(flips).alias("o"))
+    off = each.where("on = 0").select("slot", "rest", "o", F.col("v").alias("a"))
+    on = each.where("on <> 0").select("slot", "rest", "o", F.col("v").alias("b"))
+    return off.join(on, ["slot", "rest", "o"]).select("a", "b")
+
+
 def _halves() -> list[tuple]:
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     return [(low, high), (high, low)]
@@ -119,13 +137,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_links counts the fingerprint's links to other fingerprints as the index found them.
     """
     prints = durable(with_fingerprint(docs, id_col, text_col, shingle))
-    distinct = durable(prints.groupBy("fp").agg(F.min(id_col).alias("v")))
-    edges = durable(links(distinct.where(F.col("v").isNotNull())).distinct())
+    prints = prints.select(F.col(id_col).alias("id"), "fp")
+    distinct = durable(prints.groupBy("fp").agg(F.min("id").alias("least")))
+    # Fingerprints link, whoever has them; the smallest identifier of a component is looked for afterwards.
+    edges = durable(links(distinct.select("fp", F.col("fp").alias("v"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = distinct.join(roots, "v", "left").join(degree, "v", "left").select("fp", F.coalesce("root", "v").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # The smallest fingerprint of a component has no root but itself.
+    linked = distinct.join(degree.join(roots, "v", "left"), F.col("fp") == F.col("v")).select("fp", "least", F.coalesce("root", "fp").alias("root"), "n_links")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(names, "root").select("fp", "component_id", "n_links")
+    alone = distinct.join(degree, F.col("fp") == F.col("v"), "left_anti").select("fp", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(classes, "fp").select(id_col, hexed.alias("fingerprint"), "component_id", "n_links")
+    return prints.join(named.unionByName(alone), "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id", "n_links")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -134,12 +158,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows without an identifier stay only where no row with one has their fingerprint.
     """
     named = near_duplicates(docs, id_col, text_col, shingle).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = durable(named.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")))
-    once = docs.join(kept.where("_n = 1").select(id_col).hint("shuffle_hash"), docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
-    again = kept.where("_n > 1")
+    kept = durable(named.groupBy(F.col(id_col).alias("kept")).agg(F.count(F.lit(1)).alias("n")))
+    (key,) = unused(docs, "kept")
+    same = lambda some: docs.join(some.select(F.col("kept").alias(key)).hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col(key)), "left_semi")
+    once, again = same(kept.where("n = 1")), kept.where("n > 1")
     if again.isEmpty():
         return once
     # Rows that repeat an identifier are one document: its first row by text.
-    twice = docs.join(again.select(id_col).hint("shuffle_hash"), docs[id_col].eqNullSafe(again[id_col]), "left_semi")
-    first = twice.groupBy(id_col).agg(F.min_by(F.struct("*"), F.struct(F.coalesce(text_col, F.lit("")))).alias("_r")).select("_r.*")
+    first = same(again).groupBy(F.col(id_col).alias("kept")).agg(F.min_by(F.struct("*"), F.coalesce(text_col, F.lit(""))).alias("r")).select("r.*")
     return once.unionByName(first)

@@ -92,6 +92,16 @@ def test_quality(spark, rows, docs):
     assert quality.quality_rules(empty(docs), labels).count() == 0
 
 
+def test_labelled_documents_that_repeat_count_once(spark, docs, monkeypatch):
+    some = docs.where("doc_id < 40")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "Forest", lambda x, *_: seen.append(len(x)) or type("F", (), {"path": lambda self, y: y[:, 0]})())
+    quality.fit(some, labels)
+    quality.fit(some.unionByName(some).unionByName(some), labels)
+    assert seen[0] == seen[1] > 0
+
+
 def test_forest_isolates_what_lies_apart():
     rng = np.random.default_rng(1)
     clean = rng.normal(0.2, 0.02, (500, 3))
@@ -143,6 +153,27 @@ def test_near_duplicates(rows, docs):
     assert sorted(r.doc_id for r in twice.collect()) == sorted(set(want.values()))
 
 
+def test_near_duplicates_through_a_row_without_identifier(spark, monkeypatch):
+    """Two documents that only a row without an identifier links are one component."""
+    prints = [(1, 0b1), (None, 0b1111), (2, 0b1111111), (3, 1 << 40), (None, 1 << 50 | 1 << 55 | 1 << 60 | 1 << 62), (4, 1 << 40)]
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, *_: docs)
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 1, 2), (None, 1, 2), (2, 1, 1), (3, 1, 1), (4, 1, 1), (None, None, 0)], key=str)
+
+
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_links_of_a_hot_wild_bit(spark, monkeypatch, crowd):
+    """Many fingerprints with one half and many with that half but for a bit: pairs tried stay few, none is lost."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng, half = random.Random(9), 0x12345678
+    low = sorted({rng.getrandbits(32) & 0x7FF for _ in range(300)})
+    fps = [x << 32 | half ^ flip for x in low for flip in (0, 1 << 7)]
+    df = spark.createDataFrame([(f, i) for i, f in enumerate(fps)], "fp long, v long")
+    edges = {tuple(sorted((r.a, r.b))) for r in simhash.links(df).collect()}
+    assert edges == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if bin(fps[a] ^ fps[b]).count("1") <= 3}
+
+
 @pytest.mark.parametrize("crowd", [64, 3, 1])
 def test_links_are_exact(spark, monkeypatch, crowd):
     """Random fingerprints around a few centres, many with a half in common; small crowds take the deeper indexes."""
@@ -208,6 +239,15 @@ def test_contamination(spark, rows, docs, block):
     assert left == {i for i in got if 2 * got[i][1] <= got[i][0]}
 
 
+def test_contamination_of_columns_that_clash(spark, rows):
+    bench = spark.createDataFrame([(0, rows[2][1]), (1, "six five")], "item_id long, text string")
+    named = ("_marks", "_items", "marks", "ITEMS", "n_words", "item_id")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = decontaminate.remove_contamination(df.withColumns({c: F.lit(c) for c in named}), bench)
+    assert out.columns == ["doc_id", "text", *named] and all(r[c] == c for r in out.limit(3).collect() for c in named)
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in decontaminate.remove_contamination(df, bench).collect()}
+
+
 def test_contamination_of_nothing(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, bench).where("contaminated").count() == 0
@@ -828,6 +868,10 @@ def test_mixing(spark):
         whole = n // max(1, sum(size.values()))
         assert all(seen[i, e] for i in size for e in range(whole)) and all(e <= whole for _, e in seen)
     assert {tuple(r) for r in mixing.mix(df.repartition(7), domain, weights, budget_share=0.7, max_epochs=2).collect()} == {tuple(r) for r in got}
+    named = ("h", "leaf", "whole", "rest", "_lang", "_id", "range", "own0", "cut_h", "n", "one", "k")
+    clash = mixing.mix(df.withColumns({c: F.lit(c) for c in named}), domain, weights, budget_share=0.7, max_epochs=2)
+    assert all(r[c] == c for r in clash.limit(5).collect() for c in named)
+    assert {tuple(r) for r in clash.drop(*named).collect()} == {tuple(r) for r in got}
     assert mixing.mix(df.where("false"), domain, weights, budget_share=0.7).count() == 0
     assert mixing.mix(df, domain, weights, budget_tokens=0).count() == 0
 
