@@ -74,7 +74,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
         sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_pylist()
         at, held = 0, 0
         for i, n in enumerate(sizes):
-            if i > at and (held + n > most or i - at >= CHUNK_ROWS):
+            if i > at and (held + n > most or i - at >= CHUNK_ROWS * max(1, most // CHUNK_BYTES)):
                 yield b.slice(at, i - at)
                 at, held = i, 0
             held += n

@@ -27,7 +27,7 @@ N-grams in half of a sample of the pieces or more (at most twice a piece's
 n-grams, whatever the corpus) go no such way, as they would fill their shards with a row
 from each piece: their counts are summed with map-side combine and sent to all.
 The sample decides only which way an n-gram takes; all counts are of all
-documents. Hashes have 64 bits.
+documents. N-grams are keyed by KEY_BITS of a hash.
 
 Nulls and empty texts are one end token. Rows may repeat; each is learned and
 scored. A null identifier counts as the empty text in the fold (so it is
@@ -52,14 +52,22 @@ from .hashing import WordHasher, mix
 
 ORDER = 3
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Bits of a key: few enough for small messages, so many that of 10^13 n-grams one in some thousand meets another.
+KEY_BITS = 56
+#: How hard pieces are compressed: they are written and shuffled.
+LEVEL = 6
+#: Bytes of text in a piece.
+PIECE_BYTES = 4 << 20
 #: Bytes of text for each shard: its keys take about three times as many, so a shard stays small at any size of the corpus.
 SHARD_BYTES = 16 << 20
-#: Pieces that are looked at, at most, for n-grams that half of all pieces have.
-SAMPLE = 64
+#: Pieces that one task looks at for n-grams that half of all pieces have.
+SAMPLE = 8
 #: Tokens of a lane. A lane begins ORDER - 1 tokens earlier, by which any state is reached.
 LANE = 256
 #: Buckets of context counts, by the power of two.
 BUCKETS = 48
+#: The key of the end token.
+ENDED = END >> np.uint64(64 - KEY_BITS)
 PIECE = fields(body=T.BinaryType())
 ROW = fields(shard=T.IntegerType(), piece=T.LongType(), n=T.IntegerType(), body=T.BinaryType(), counts=T.BinaryType())
 #: stat, of a shard and order: n-gram tokens, distinct ones, those that occur once and twice, then context tokens by bucket.
@@ -94,6 +102,7 @@ class Tokens:
         triple = mix(np.concatenate([pair[:1], pair[:-1]]) * step + (hashes ^ np.uint64(0x5851F42D4C957F2D)))
         self.keys, self.at = [], []
         for h, skip in ((hashes, None), (pair, None), (triple, first)):
+            h = h >> np.uint64(64 - KEY_BITS)
             keys, at = np.unique(h if skip is None else h[~skip], return_inverse=True)
             if skip is not None:
                 full = np.full(n, -1, dtype=np.int64)
@@ -131,9 +140,9 @@ def _pieces(docs: DataFrame, text_col: str) -> DataFrame:
     """(piece, body): slices of (identifier, text), written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text_col):
+        for b in chunks(batches, text_col, PIECE_BYTES):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as w:
                 w.write_batch(b)
             yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()])], names=PIECE.names)
 
@@ -146,20 +155,23 @@ def _open(body: bytes) -> tuple[pa.Array, list[bytes]]:
 
 
 def _hot(pieces: DataFrame) -> list[np.ndarray]:
-    """By order, sorted n-grams that half of a sample of the pieces have, if the sample is large enough for that to matter."""
-    sample = pieces.orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE)
+    """By order, sorted n-grams that half of a sample of the pieces have, and half of SAMPLE pieces at least."""
+    some = [r[0] for r in pieces.select("piece").orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE).collect()]
+    sample = pieces.where(F.col("piece").isin(some))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
+        hasher, own, pieces = WordHasher(), [[] for _ in range(ORDER)], 0
         for b in batches:
             for body in b.column(1):
-                t = Tokens(_open(body.as_py())[1], hasher)
-                for n, keys in enumerate(t.keys, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, dtype=np.int32)), pa.array(keys.view(np.int64))], names=["n", "h"])
-
-    count = sample.count()
-    rows = sample.mapInArrow(run, fields(n=T.IntegerType(), h=T.LongType())).groupBy("n", "h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * 2 >= max(count, 8))
-    found = rows.select("n", "h").toPandas()
+                pieces += 1
+                for keys, held in zip(Tokens(_open(body.as_py())[1], hasher).keys, own):
+                    held.append(keys)
+        for n, held in enumerate(own, 1):
+            keys, k = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
+            keys = keys[2 * k >= max(pieces, SAMPLE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, dtype=np.int32)), pa.array(keys.view(np.int64))], names=["n", "h"])
+
+    found = sample.coalesce(1).mapInArrow(run, fields(n=T.IntegerType(), h=T.LongType())).toPandas()
     return [np.sort(found["h"][found["n"] == n].to_numpy(dtype=np.int64).view(np.uint64)) for n in range(1, ORDER + 1)]
 
 
@@ -213,7 +225,7 @@ def _asks(pieces: DataFrame, hot: list[np.ndarray], bits: int, mod: int, held: i
                 for n, (keys, counts, h) in enumerate(zip(t.keys, _training(ids, t, mod, held), hot), 1):
                     cold = ~_among(keys, h)[0]
                     keys, counts = keys[cold], counts[cold]
-                    shard = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                    shard = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int64)
                     cut = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << bits))
                     rows += [(int(shard[a]), piece, n, _pack(keys[a:z]), _squeeze(counts[a:z])) for a, z in zip(cut.tolist(), cut[1:].tolist())]
                 if rows:
@@ -226,7 +238,7 @@ def _statistics(keys: np.ndarray, total: np.ndarray, n: int) -> list[int]:
     """What the model needs of some n-grams' counts."""
     seen = total[total > 0]
     buckets = np.zeros(BUCKETS, dtype=np.int64)
-    context = total[(total > 0) & (keys != END)] if n == 1 else seen  # nothing follows an end
+    context = total[(total > 0) & (keys != ENDED)] if n == 1 else seen  # nothing follows an end
     np.add.at(buckets, np.minimum(np.log2(np.maximum(context, 1)).astype(np.int64), BUCKETS - 1), context)
     return [int(seen.sum()), len(seen), int((seen == 1).sum()), int((seen == 2).sum()), *buckets.tolist()]
 
@@ -299,7 +311,7 @@ class BackoffAutomaton:
         word, pair, triple = t.at
         v = len(words)
         chance = np.where(words > 0, words - discount, discount * distinct) / total
-        is_context = (words > 0) & (t.keys[0] != END)
+        is_context = (words > 0) & (t.keys[0] != ENDED)
         self.words = v
         word_state = np.where(is_context, 2 + np.cumsum(is_context) - 1, 0)
         at = 2 + int(is_context.sum())

@@ -516,7 +516,7 @@ def _chance(w, context, c, begun, s):
 
 
 def _smoothing(c, begun):
-    stats = [language_model._statistics(np.array([language_model.END if k is None else 0 for k in x] if n == 1 else [0] * len(x), dtype=np.uint64), np.array(list(x.values()), dtype=np.int64), n) for n, x in enumerate(c, 1)]
+    stats = [language_model._statistics(np.array([language_model.ENDED if k is None else 0 for k in x] if n == 1 else [0] * len(x), dtype=np.uint64), np.array(list(x.values()), dtype=np.int64), n) for n, x in enumerate(c, 1)]
     return language_model.Smoothing(stats, begun)
 
 
@@ -528,7 +528,7 @@ def test_lm_scores(rows, docs, monkeypatch):
     toks, c, begun = _counts(rows, held)
     s = _smoothing(c, begun)
     n, v = sum(c[0].values()), len(c[0])
-    monkeypatch.setattr(language_model, "SAMPLE", 3)
+    monkeypatch.setattr(language_model, "SAMPLE", 2)
     got = {r.doc_id: r for r in language_model.lm_scores(docs, shard_bits=2).collect()}
     assert set(got) == set(toks)
     for i, ws in toks.items():
