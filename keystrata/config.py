@@ -10,24 +10,24 @@ from pyspark.sql import Column
 
 @dataclass(frozen=True)
 class KeyspaceConfig:
-    """``cost_func`` gives the cost of a value where a row has none (0 or null); a plain SET costs 1.
+    """Limits, expiry, costs and hashing of a key space.
 
-    ``admission``: "always" keeps incoming rows and lets retention decide (the
-    behaviour that runs); "tinylfu" rejects newcomers that are used less than
-    the row they would push out (the documented behaviour).
+    ``cost_func`` gives the cost of a value where a row has none (0 or null); a plain
+    SET costs 1. ``key_hasher`` is what lookups by hash use. ``max_entries``,
+    ``max_cost`` and ``admission`` are read by ``operators.bounded``: "always" lets
+    every row in and evicts (the behaviour that runs); "tinylfu" rejects a row that
+    is used less than every row that stays (the documented behaviour).
+
+    Counters, buffers, prefix indexes and timer wheels have no option: sketches take
+    their width where they are made, and the rest is Spark's.
     """
 
     max_entries: int | None = None
     max_cost: int | None = None
-    num_counters: int = 10_000_000
     default_ttl_ns: int = 0
     cost_func: Callable[[Column], Column] | None = None
     key_hasher: Callable[[Column], Column] | None = None
-    metrics: bool = True
-    buffer_items: int = 0
-    prefix_search: bool = False
     admission: str = "always"
-    expiration_resolution_ns: int = 100_000_000
 
     def __post_init__(self) -> None:
         if self.admission not in ("always", "tinylfu"):

@@ -50,11 +50,12 @@ def _set(pattern: str, i: int) -> tuple[str, int]:
     i += negated
     members: list[tuple[str, str]] = []
     while i < len(pattern) and pattern[i] != "]":
-        if pattern[i] == "\\" and i + 1 < len(pattern):
-            i += 1
+        escaped = pattern[i] == "\\" and i + 1 < len(pattern)
+        i += escaped
         low = pattern[i]
         i += 1
-        if i + 1 < len(pattern) and pattern[i] == "-" and pattern[i + 1] != "]":
+        # An escaped member stands for itself and begins no range.
+        if not escaped and i + 1 < len(pattern) and pattern[i] == "-" and pattern[i + 1] != "]":
             high = pattern[i + 1]
             i += 2
             members.append((min(low, high), max(low, high)))

@@ -93,6 +93,16 @@ def fast_fnv(key: Column) -> Column:
     return F.when(n < 32, fnv1a(key)).otherwise(F.aggregate(rest, h, lambda x, i: _times_prime(x.bitwiseXOR(byte(i)))))
 
 
+def md5_hash(seed: int, key: Column) -> Column:
+    """32 bits of the MD5 of ``seed:key``, which other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def xx_hash(seed: int, key: Column) -> Column:
+    """The sketches' own hash."""
+    return F.xxhash64(F.lit(seed), key)
+
+
 def shard_of(key_hash: Column, shards: int) -> Column:
     """The shard of a hash; the count is rounded up to a power of two."""
     return key_hash.bitwiseAND(F.lit((1 << max(0, shards - 1).bit_length()) - 1))

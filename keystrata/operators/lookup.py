@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import KeyspaceConfig
+from ..functions.hashing import fnv1a
 from .state import live
 
 
@@ -17,6 +19,12 @@ def peek(state: DataFrame, key) -> DataFrame:
     return state.where(F.col("key") == F.lit(key))
 
 
+def get_by_hash(state: DataFrame, key_hash: int, as_of_ns: int, config: KeyspaceConfig = KeyspaceConfig()) -> DataFrame:
+    """Live entries whose key has this hash under the configured hasher (FNV-1a if none)."""
+    hasher = config.key_hasher or fnv1a
+    return state.where((hasher(F.col("key")) == F.lit(key_hash)) & live(as_of_ns))
+
+
 def has(state: DataFrame, keys: DataFrame, as_of_ns: int) -> DataFrame:
     """(key, found) of each distinct key; leaves no access record."""
     there = state.where(live(as_of_ns)).select("key", F.lit(True).alias("_t"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .state import live
 
 STRETCH = 1 << 16
+#: Up to so many rows are found by a sort's head; beyond it, by sums of sums, as one task would have to hold them.
+TOP_ROWS = 100_000
 
 
 def frequencies(log: DataFrame) -> DataFrame:
@@ -27,6 +29,7 @@ def ranked(state: DataFrame, freq: DataFrame, as_of_ns: int) -> DataFrame:
 
 def _prefix(rows: DataFrame, amount: Column, cap: int, stretch: int = STRETCH) -> DataFrame:
     """The longest head in order (freq desc, seq desc) whose amounts add up to ``cap`` at most."""
+    # The edges below are one row each, so that the joins with them are no products.
     rows = rows.withColumn("_a", amount.cast("long")).withColumn("_s", F.floor(F.col("seq") / stretch))
 
     def edge(sums: DataFrame, order: str, taken: Column) -> DataFrame:
@@ -46,9 +49,21 @@ def _prefix(rows: DataFrame, amount: Column, cap: int, stretch: int = STRETCH) -
     return rows.join(F.broadcast(limits)).where(F.coalesce(head, F.lit(False))).drop("_a", "_s", "_f", "_t1", "_s2", "_t2", "_q")
 
 
+def within(rows: DataFrame, max_entries: int | None, max_cost: int | None) -> DataFrame:
+    """The longest head of ranked rows within both limits; both heads are of one order, so the shorter is in the longer."""
+    if max_entries is not None:
+        rows = head_rows(rows, max_entries)
+    return _prefix(rows, F.col("cost"), max_cost) if max_cost is not None else rows
+
+
+def head_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by use, then recency; each task sends its own first n."""
+    return rows.orderBy(F.desc("freq"), F.desc("seq")).limit(n) if n <= TOP_ROWS else _prefix(rows, F.lit(1), n)
+
+
 def top_entries(state: DataFrame, freq: DataFrame, n: int, as_of_ns: int) -> DataFrame:
     """The n most used live entries, the later written first among equals."""
-    return _prefix(ranked(state, freq, as_of_ns), F.lit(1), n)
+    return head_rows(ranked(state, freq, as_of_ns), n)
 
 
 def within_cost(state: DataFrame, freq: DataFrame, max_cost: int, as_of_ns: int) -> DataFrame:
@@ -72,6 +87,10 @@ def sample_size(entries: int) -> int:
     return entries if entries < 100 else 10 if entries < 1_000 else 15 if entries < 10_000 else 20
 
 
-def sample(state: DataFrame, entries: int, seed: int = 1) -> DataFrame:
-    """A seeded sample without replacement, ordered by a hash of the key: the same on any layout."""
-    return state.orderBy(F.xxhash64(F.lit(seed), F.col("key")), "key").limit(sample_size(entries))
+def sample(state: DataFrame, entries: int | None = None, seed: int = 1) -> DataFrame:
+    """A seeded sample without replacement, ordered by a hash of the key: the same on any layout.
+
+    Its size follows from the number of entries, which is counted if it isn't given.
+    """
+    n = state.count() if entries is None else entries
+    return state.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")).cast("binary")), "key").limit(sample_size(n))

@@ -29,6 +29,12 @@ def scan_prefix(state: DataFrame, prefix: str, as_of_ns: int) -> DataFrame:
     return scan(state.where(F.col("key").startswith(prefix)) if prefix else state, as_of_ns)
 
 
+def find_by_prefix(state: DataFrame, prefix: str, limit: int, as_of_ns: int) -> DataFrame:
+    """The first ``limit`` live rows under a prefix in key order; all of them with no positive limit."""
+    found = scan_prefix(state, prefix, as_of_ns)
+    return found.orderBy("key").limit(limit) if limit > 0 else found
+
+
 def scan_match(state: DataFrame, pattern: str, as_of_ns: int, byte_wise: bool = False) -> DataFrame:
     """Live rows whose key matches a glob; a bad pattern matches nothing."""
     try:

@@ -55,6 +55,36 @@ def upsert(state: DataFrame, changes: DataFrame) -> DataFrame:
     return last.where("e.op = 'SET'").select("key", "e.value", "e.cost", "e.expire_at", "e.seq")
 
 
+#: What a merged state has: entries (SET), tombstones (DELETE), and at most one CLEAR, whose key is null.
+MERGED = ["key", "op", "value", "cost", "expire_at", "seq"]
+
+
+def merged(old: DataFrame | None, log: DataFrame, config: KeyspaceConfig = KeyspaceConfig(), keep: int | None = None) -> DataFrame:
+    """A state with its tombstones after more of the log, which may come in any order.
+
+    The row with the highest sequence number of a key counts, deletions included, so
+    that a SET that comes late stays dead. CLEAR kills what is before it, whenever
+    it comes. Tombstones ``keep`` sequence numbers behind the newest row go, if it
+    is given: nothing may come later than that. ``old`` is what this has returned
+    before, or nothing; the parts' sizes don't matter, only one number is broadcast.
+    """
+    rows = normalised(log.where(F.col("op").isin("SET", "DELETE", "CLEAR")), config).select(MERGED)
+    if old is not None:
+        rows = old.select(MERGED).unionByName(rows)
+    edge = rows.agg(F.coalesce(F.max(F.when(F.col("op") == "CLEAR", F.col("seq"))), F.lit(-(2**63))).alias("_cleared"), F.coalesce(F.max("seq"), F.lit(-(2**63))).alias("_newest"))
+    rows = rows.withColumn("key", F.when(F.col("op") != "CLEAR", F.col("key"))).join(F.broadcast(edge), F.col("seq") >= F.col("_cleared"))
+    if keep is not None:
+        rows = rows.where((F.col("op") != "DELETE") | (F.col("seq") > F.col("_newest") - F.lit(keep)))
+    # A CLEAR of the same number as a row can't be; rows at the edge are the CLEAR itself.
+    last = rows.where((F.col("op") == "CLEAR") | (F.col("seq") > F.col("_cleared"))).groupBy("key").agg(F.max_by(F.struct(*MERGED[1:]), F.col("seq")).alias("e"))
+    return last.select("key", "e.*")
+
+
+def entries(merged_state: DataFrame) -> DataFrame:
+    """The stored entries of a merged state."""
+    return merged_state.where("op = 'SET'").select("key", "value", "cost", "expire_at", "seq")
+
+
 def delete_many(state: DataFrame, keys: DataFrame) -> DataFrame:
     return state.join(keys.select("key").distinct(), "key", "left_anti")
 

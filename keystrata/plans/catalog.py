@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import KeyspaceConfig
 from ..functions import hashing
+from ..operators.bounded import bounded
 from ..operators import lookup, metrics, retention, scan, sketch, state
 from ..sources.log import HOUR_NS, event_log
 from .. import legacy
@@ -175,11 +176,22 @@ _glob("kv_glob_star", "https://*/en/*", "https://.*/en/.*")
 _glob("kv_glob_double_star", "http://**.html", "http://.*[.]html")
 _glob("kv_glob_question", "*/en/???", ".*/en/...")
 _glob("kv_glob_charset", "http*://[bm]*.example.[a-d]*", "http.*://[bm].*[.]example[.][a-d].*")
-_glob("kv_glob_negated", "*[!a-z0-9/]", ".*[^a-z0-9/]")
+_glob("kv_glob_negated", "*://[!bw]*[!0-9]", ".*://[^bw].*[^0-9]")
+_glob("kv_glob_escaped_member", r"*/en/[\0-9]*", ".*/en/[09-].*")
 _glob("kv_glob_escape", r"*\?page=2*", ".*[?]page=2.*")
 _glob("kv_glob_literal", "Customer#000000001", "Customer#000000001", "customer")
 
 
+@query(f"WITH {STATE} SELECT key, value FROM live WHERE starts_with(key, 'user:1') ORDER BY key LIMIT 7")
+def kv_find_by_prefix(spark, d):
+    return scan.find_by_prefix(_state(spark, d), "user:1", 7, AS_OF).select("key", "value")
+
+
+@query(f"WITH {STATE} SELECT key, value FROM live WHERE length(key) = 7")
+def kv_get_by_hash(spark, d):
+    return lookup.get_by_hash(_state(spark, d), 7, AS_OF, KeyspaceConfig(key_hasher=lambda k: F.char_length(k))).select("key", "value")
+
+
 # Mutations
 
 
@@ -188,6 +200,15 @@ def kv_lww_state(spark, d):
     return _state(spark, d)
 
 
+@query(f"WITH {STATE} SELECT key, value, cost, expire_at, seq FROM state")
+def kv_late_writes(spark, d):
+    """The log in three batches, each with a third of all rows and the newest first: late SETs stay dead."""
+    log, kept = _log(spark, d), None
+    for k in (2, 1, 0):
+        kept = state.merged(kept, log.where(F.col("seq") % 3 == k))
+    return state.entries(kept)
+
+
 @query(f"WITH {STATE}, items(key, value) AS (VALUES ('user:1', 1.5), ('user:new', 2.5), ('other', 3.5)) SELECT key, value::DOUBLE AS value, 0::BIGINT AS expire_at FROM items UNION ALL SELECT key, value, expire_at FROM state WHERE key NOT IN (SELECT key FROM items)")
 def kv_set_many(spark, d):
     items = spark.createDataFrame([("user:1", 1.5), ("user:new", 2.5), ("other", 3.5)], "key string, value double")
@@ -288,9 +309,34 @@ def kv_tinylfu_admit(spark, d):
     return retention.admit(incoming, victims)
 
 
-@query()
+@query(f"WITH {STATE}, n AS (SELECT count(*) AS n FROM live), r AS (SELECT key, value, row_number() OVER (ORDER BY md5('1:' || key), key) AS r FROM live) SELECT key, value FROM r, n WHERE r <= CASE WHEN n < 100 THEN n WHEN n < 1000 THEN 10 WHEN n < 10000 THEN 15 ELSE 20 END")
 def kv_sample(spark, d):
-    return retention.sample(scan.scan(_state(spark, d), AS_OF), 500).select("key", "value")
+    return retention.sample(scan.scan(_state(spark, d), AS_OF)).select("key", "value")
+
+
+def _bounded(spark, d, **limits):
+    return bounded(_log(spark, d), AS_OF, KeyspaceConfig(**limits))
+
+
+@query(f"WITH {RANKED} SELECT key, value, cost, freq FROM running WHERE r <= {TOP} AND c <= {CAP}")
+def kv_bounded(spark, d):
+    return _bounded(spark, d, max_entries=TOP, max_cost=CAP).retained.select("key", "value", "cost", "freq")
+
+
+@query(f"WITH {RANKED} SELECT key, cost, 'capacity' AS reason FROM running WHERE r > {TOP} OR c > {CAP}")
+def kv_bounded_evicted(spark, d):
+    return _bounded(spark, d, max_entries=TOP, max_cost=CAP).evicted.select("key", "cost", "reason")
+
+
+@query(f"WITH {RANKED} SELECT key, freq, CASE WHEN freq < (SELECT min(freq) FROM running WHERE r <= {TOP}) THEN 'admission' ELSE 'capacity' END AS reason FROM running WHERE r > {TOP}")
+def kv_rejected(spark, d):
+    b = _bounded(spark, d, max_entries=TOP, admission="tinylfu")
+    return b.rejected.unionByName(b.evicted).select("key", "freq", "reason")
+
+
+@query(f"WITH {RANKED}, o AS (SELECT * FROM running WHERE r > {TOP}), l AS (SELECT min(freq) AS least FROM running WHERE r <= {TOP}) SELECT (SELECT count(*) FROM o, l WHERE freq >= least)::BIGINT AS evictions, (SELECT coalesce(sum(cost), 0) FROM o, l WHERE freq >= least)::BIGINT AS cost_evicted, (SELECT count(*) FROM o, l WHERE freq < least)::BIGINT AS rejections, (SELECT count(*) FROM log WHERE op = 'SET')::BIGINT AS sets")
+def kv_bounded_metrics(spark, d):
+    return _bounded(spark, d, max_entries=TOP, admission="tinylfu").metrics().select("evictions", "cost_evicted", "rejections", "sets")
 
 
 # Frequencies and filters
@@ -301,46 +347,74 @@ def kv_freq_exact(spark, d):
     return retention.frequencies(_log(spark, d))
 
 
-@query(f"WITH {LOG} SELECT key, TRUE AS bounded FROM log WHERE op IN ('GET', 'SET') GROUP BY key")
+def _md5(seed: str, key: str = "key") -> str:
+    return f"('0x' || substr(md5({seed} || ':' || {key}), 1, 8))::BIGINT"
+
+
+_CELLS = f"{LOG}, a AS (SELECT key, r, {_md5('r')} & {WIDTH - 1} AS b FROM log, range(4) t(r) WHERE op IN ('GET', 'SET'))"
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT r, b, least(count(*), 255)::BIGINT AS n FROM a GROUP BY ALL), e AS (SELECT key, min(n) AS est FROM (SELECT DISTINCT key, r, b FROM a) JOIN s USING (r, b) GROUP BY key), f AS (SELECT key, count(*) AS freq FROM log WHERE op IN ('GET', 'SET') GROUP BY key) SELECT key, est, est >= least(freq, 255) AS bounded FROM e JOIN f USING (key)")
 def kv_cms_upper_bound(spark, d):
     rows = _log(spark, d).where(F.col("op").isin("GET", "SET"))
-    est = sketch.cms_estimate(sketch.cms(rows, WIDTH), rows, WIDTH)
-    return est.join(retention.frequencies(rows), "key").select("key", (F.col("est") >= F.least("freq", F.lit(255))).alias("bounded"))
+    est = sketch.cms_estimate(sketch.cms(rows, WIDTH, hasher=hashing.md5_hash), rows, WIDTH, hasher=hashing.md5_hash)
+    return est.join(retention.frequencies(rows), "key").select("key", "est", (F.col("est") >= F.least("freq", F.lit(255))).alias("bounded"))
 
 
-@query(f"WITH {LOG} SELECT key, TRUE AS bounded FROM log WHERE op IN ('GET', 'SET') GROUP BY key")
+@query(f"WITH {_CELLS}, s AS (SELECT r, b, least(count(*), 15)::BIGINT // 2 AS n FROM a GROUP BY ALL) SELECT key, min(n)::BIGINT AS est FROM (SELECT DISTINCT key, r, b FROM a) JOIN s USING (r, b) GROUP BY key")
 def kv_cms_halved(spark, d):
     rows = _log(spark, d).where(F.col("op").isin("GET", "SET"))
-    est = sketch.cms_estimate(sketch.cms_halved(sketch.cms(rows, WIDTH, saturate=15)), rows, WIDTH)
-    return est.join(retention.frequencies(rows), "key").select("key", (F.col("est") >= F.floor(F.least("freq", F.lit(15)) / 2)).alias("bounded"))
+    halved = sketch.cms_halved(sketch.cms(rows, WIDTH, saturate=15, hasher=hashing.md5_hash))
+    return sketch.cms_estimate(halved, rows, WIDTH, hasher=hashing.md5_hash)
+
+
+@query(f"WITH {_CELLS}, s AS (SELECT r, b, least(count(*), 255)::BIGINT AS n FROM a GROUP BY ALL), c AS (SELECT key, count(*) AS n FROM log WHERE op IN ('GET', 'SET') GROUP BY key) SELECT key, (min(s.n) + max((c.n > 1)::INTEGER))::BIGINT AS est FROM (SELECT DISTINCT key, r, b FROM a) JOIN s USING (r, b) JOIN c USING (key) GROUP BY key")
+def kv_tinylfu_estimate(spark, d):
+    rows = _log(spark, d).where(F.col("op").isin("GET", "SET"))
+    return sketch.tinylfu_estimate(sketch.cms(rows, WIDTH, hasher=hashing.md5_hash), sketch.doorkeeper_second(rows), rows, WIDTH, hashing.md5_hash)
 
 
-@query(f"WITH {LOG} SELECT DISTINCT key, TRUE AS maybe FROM log")
+BITS, PROBES = 4096, 3
+_BITS = f"{LOG}, k AS (SELECT DISTINCT key FROM log), x AS (SELECT DISTINCT {_md5('i')} % {BITS} AS b FROM k, range({PROBES}) t(i))"
+
+
+@query(f"WITH {_BITS} SELECT DISTINCT key, TRUE AS maybe FROM log WHERE {' AND '.join(f'{_md5(repr(str(i)))} % {BITS} IN (SELECT b FROM x)' for i in range(PROBES))}")
 def kv_bloom_no_false_negative(spark, d):
     keys = _log(spark, d).select("key")
-    bits, hashes = sketch.bloom_size(2_000)
-    return sketch.bloom_contains(sketch.bloom(keys, bits, hashes), keys, bits, hashes)
+    return sketch.bloom_contains(sketch.bloom(keys, BITS, PROBES, hashing.md5_hash), keys, BITS, PROBES, hashing.md5_hash)
 
 
-@query("SELECT TRUE AS within")
+@query(f"WITH {_BITS} SELECT c_name AS key, {' AND '.join(f'{_md5(repr(str(i)), chr(99) + '_name')} % {BITS} IN (SELECT b FROM x)' for i in range(PROBES))} AS maybe FROM customer")
 def kv_bloom_false_positives(spark, d):
-    there, absent = spark.range(10_000).withColumnRenamed("id", "key"), spark.range(10_000, 20_000).withColumnRenamed("id", "key")
-    bits, hashes = sketch.bloom_size(10_000)
-    found = sketch.bloom_contains(sketch.bloom(there, bits, hashes), absent, bits, hashes)
-    return found.agg((F.count_if("maybe") <= 500).alias("within"))
+    absent = _table(spark, d, "customer", F.col("c_name"), F.col("c_custkey")).select("key")
+    return sketch.bloom_contains(sketch.bloom(_log(spark, d).select("key"), BITS, PROBES, hashing.md5_hash), absent, BITS, PROBES, hashing.md5_hash)
 
 
-@query("SELECT TRUE AS within")
+@query(f"WITH {_BITS}, n AS (SELECT count(*)::BIGINT AS n FROM x) SELECT n AS set_bits, round(n / {BITS}, 9) AS fill_ratio, floor(-{BITS / PROBES!r} * ln(1 - n / {BITS}))::BIGINT AS estimated_count FROM n")
 def kv_bloom_estimated_count(spark, d):
-    bits, hashes = sketch.bloom_size(10_000)
-    filled = sketch.bloom_fill(sketch.bloom(spark.range(10_000).withColumnRenamed("id", "key"), bits, hashes), bits, hashes)
-    return filled.select(F.col("estimated_count").between(9_500, 10_500).alias("within"))
+    filled = sketch.bloom_fill(sketch.bloom(_log(spark, d).select("key"), BITS, PROBES, hashing.md5_hash), BITS, PROBES)
+    return filled.select("set_bits", F.round("fill_ratio", 9).alias("fill_ratio"), "estimated_count")
+
+
+_BLOCKS = f"{LOG}, k AS (SELECT DISTINCT key FROM log), x AS (SELECT DISTINCT {_md5(repr('0'))} % 8 AS k, {_md5('i')} % 512 AS b FROM k, range(1, 4) t(i))"
 
 
-@query(f"WITH {LOG} SELECT DISTINCT key, TRUE AS maybe FROM log")
+@query(f"WITH {_BLOCKS}, a AS (SELECT c_name AS key, {_md5(repr('0'), 'c_name')} % 8 AS k, {_md5('i', 'c_name')} % 512 AS b FROM customer, range(1, 4) t(i)) SELECT key, count(x.b) = 3 AS maybe FROM a LEFT JOIN x USING (k, b) GROUP BY key")
 def kv_blocked_bloom(spark, d):
-    keys = _log(spark, d).select("key")
-    return sketch.blocked_contains(sketch.blocked_bloom(keys, 64, 7), keys, 64, 7)
+    absent = _table(spark, d, "customer", F.col("c_name"), F.col("c_custkey")).select("key")
+    return sketch.blocked_contains(sketch.blocked_bloom(_log(spark, d).select("key"), 8, 3, hashing.md5_hash), absent, 8, 3, hashing.md5_hash)
+
+
+@query(f"WITH {_BLOCKS}, f AS (SELECT k, count(*) / 512 AS r FROM x GROUP BY k) SELECT round(sum(r ** 3) / 8, 9) AS fp_rate FROM f")
+def kv_blocked_fp_rate(spark, d):
+    return sketch.blocked_fp_rate(sketch.blocked_bloom(_log(spark, d).select("key"), 8, 3, hashing.md5_hash), 8, 3).select(F.round("fp_rate", 9).alias("fp_rate"))
+
+
+@query(f"WITH {LOG}, n AS (SELECT key, greatest((count(*) FILTER (op = 'SET') - count(*) FILTER (op = 'DELETE')), 0)::BIGINT AS n FROM log GROUP BY key) SELECT sum(n)::BIGINT AS entries, 65536::BIGINT AS capacity, round(sum(n) / 65536, 9) AS load_factor FROM n")
+def kv_member_load(spark, d):
+    log = _log(spark, d)
+    found = sketch.member_figures(sketch.member_set(log.where("op = 'SET'"), log.where("op = 'DELETE'")), 65_536)
+    return found.select("entries", "capacity", F.round("load_factor", 9).alias("load_factor"))
 
 
 @query(f"WITH {LOG}, n AS (SELECT key, (count(*) FILTER (op = 'SET') - count(*) FILTER (op = 'DELETE'))::BIGINT AS n FROM log GROUP BY key) SELECT key, n FROM n WHERE n > 0")
@@ -354,9 +428,9 @@ def kv_doorkeeper_second_seen(spark, d):
     return sketch.doorkeeper_second(_log(spark, d))
 
 
-@query(f"WITH {LOG}, c AS (SELECT key, seq // 200 AS e, count(*) AS n FROM log WHERE op IN ('GET', 'SET') AND seq < 1000 GROUP BY ALL), g AS (SELECT k.key, r.e, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT key FROM c) k CROSS JOIN range(5) r(e) LEFT JOIN c ON c.key = k.key AND c.e = r.e) SELECT key, floor((floor((floor((floor((floor(max(n) FILTER (e = 0) / 2) + max(n) FILTER (e = 1)) / 2) + max(n) FILTER (e = 2)) / 2) + max(n) FILTER (e = 3)) / 2) + max(n) FILTER (e = 4)) / 2)::BIGINT AS freq FROM g GROUP BY key")
+@query(f"WITH {LOG}, m AS (SELECT max(seq) // 200 AS last FROM log), c AS (SELECT key, last - seq // 200 AS age, count(*) AS n FROM log, m WHERE op IN ('GET', 'SET') GROUP BY ALL) SELECT key, (sum(CASE WHEN age <= 84 THEN n::HUGEINT * (1::HUGEINT << (84 - age)::INTEGER) ELSE 0 END)::HUGEINT >> 85)::BIGINT AS freq FROM c GROUP BY key")
 def kv_freq_aged(spark, d):
-    return sketch.aged_frequencies(_log(spark, d), 200, 5)
+    return sketch.aged_frequencies(_log(spark, d), 200)
 
 
 # Hashes
@@ -376,6 +450,12 @@ def kv_int_hash(spark, d):
     return t.select(F.col("c_custkey").alias("key"), hashing.mix_int(F.col("c_custkey")).alias("key_hash"))
 
 
+@query(f"WITH a AS (SELECT c_custkey AS key, c_custkey::UHUGEINT AS x FROM customer), b AS (SELECT key, (xor(x, x >> 30) * 13787848793156543929::UHUGEINT) & {_M} AS x FROM a), c AS (SELECT key, (xor(x, x >> 27) * 10723151780598845931::UHUGEINT) & {_M} AS x FROM b), e AS (SELECT (xor(x, x >> 31) & 15::UHUGEINT)::BIGINT AS shard FROM c) SELECT shard, count(*)::BIGINT AS n FROM e GROUP BY shard")
+def kv_shard_counts(spark, d):
+    t = spark.read.parquet(f"{d}/customer.parquet")
+    return t.select(hashing.shard_of(hashing.mix_int(F.col("c_custkey")), 16).alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Metrics
 
 

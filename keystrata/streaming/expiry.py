@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql import types as T
 
-from ..operators.state import materialise, upsert
+from ..config import KeyspaceConfig
+from ..operators.state import entries, merged
 
 EVENT = T.StructType([T.StructField("key", T.StringType()), T.StructField("event", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("at_ns", T.LongType())])
 ENTRY = T.StructType([T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("expire_at", T.LongType()), T.StructField("dead", T.BooleanType())])
@@ -66,20 +67,67 @@ def key_events(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return rows.groupBy("key").transformWithState(KeyProcessor(), EVENT, "Append", "EventTime")
 
 
-def upsert_batches(log: DataFrame, path: str, checkpoint: str):
-    """Keep a compacted state under ``path``: each micro-batch makes a new version and then names it.
-
-    A version is complete before the pointer moves, and a repeated batch writes
-    the same version again.
+def _parts(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The number of the last complete part under ``path`` (0: none), and the parts that make up the state."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return 0, []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    done = sorted((n for n in names if n[:4] in ("base", "part") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{n}/_SUCCESS"))), key=lambda n: (int(n[5:]), n))
+    if not done:
+        return 0, []
+    bases = [int(n[5:]) for n in done if n.startswith("base")]
+    since = max(bases, default=0)
+    used = [n for n in done if n.startswith("base") and int(n[5:]) == since or n.startswith("part") and int(n[5:]) > since]
+    return int(done[-1][5:]), [f"{path}/{n}" for n in used]
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The merged state (with tombstones) that ``upsert_batches`` keeps under ``path``; None before the first batch."""
+    _, parts = _parts(spark, path)
+    if not parts:
+        return None
+    rows = spark.read.parquet(*parts)
+    return merged(rows, rows.where(F.lit(False)).withColumn("ts_ns", F.lit(0)).withColumn("ttl_ns", F.lit(0)))
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame | None:
+    """The entries among ``stored``."""
+    rows = stored(spark, path)
+    return None if rows is None else entries(rows)
+
+
+def wait(query: StreamingQuery) -> None:
+    """Barrier: what was written to the log before this is in the state afterwards."""
+    query.processAllAvailable()
+
+
+def upsert_batches(log: DataFrame, path: str, checkpoint: str, config: KeyspaceConfig = KeyspaceConfig(), compact_every: int = 16, keep: int | None = None):
+    """Keep a state under ``path``, batch by batch.
+
+    A batch writes one part with the last change of each key in it, deletions and
+    CLEAR included, so its cost is the batch's and not the state's; every
+    ``compact_every`` parts the state is written as a new base, and what came before
+    the last base is removed. A part counts once it is complete. Changes apply by
+    sequence number, so a SET that comes late stays dead, and a batch that is
+    repeated, or a new checkpoint over the same path, changes nothing that is there.
+    ``keep``: tombstones this far behind the newest row go at compaction.
     """
     spark = log.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        last = materialise(batch, cleared=False)
-        tomb = batch.where(F.col("op").isin("SET", "DELETE")).groupBy("key").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("seq")).where("op = 'DELETE'")
-        none = tomb.select("key", "op", F.lit(None).cast("double").alias("value"), F.lit(None).cast("long").alias("cost"), F.lit(0).cast("long").alias("expire_at"), "seq")
-        changes = last.withColumn("op", F.lit("SET")).select("key", "op", "value", "cost", "expire_at", "seq").unionByName(none)
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else last.where(F.lit(False))
-        upsert(old, changes).write.mode("overwrite").parquet(f"{path}/v{number}")
+        last, _ = _parts(spark, path)
+        at = last + 1
+        merged(None, batch, config).write.mode("overwrite").parquet(f"{path}/part-{at}")
+        if at % compact_every == 0:
+            rows = stored(spark, path)
+            merged(rows, batch.where(F.lit(False)), config, keep).write.mode("overwrite").parquet(f"{path}/base-{at}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+            for s in fs.listStatus(folder):
+                # Readers of the base before may still be at it; what is older goes.
+                if s.getPath().getName()[:4] in ("base", "part") and int(s.getPath().getName()[5:]) <= at - compact_every:
+                    fs.delete(s.getPath(), True)
 
     return log.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")

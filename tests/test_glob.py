@@ -71,3 +71,7 @@ def test_bytes_and_pushdown(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     read = spark.read.parquet(str(tmp_path / "t")).where(compile_glob("a*").condition(F.col("key")))
     assert "StringStartsWith(key,a)" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_escaped_member_begins_no_range():
+    assert [c for c in "a-mz\\" if compile_glob(r"[\a-z]").matches(c)] == ["a", "-", "z"]
