@@ -102,6 +102,24 @@ def test_labelled_documents_that_repeat_count_once(spark, docs, monkeypatch):
     assert seen[0] == seen[1] > 0
 
 
+def test_quality_counts_every_labelled_row(spark, monkeypatch):
+    # 200 clean rows have a symbol in each word; with these among the counted rows no such row is apart.
+    plain = [(i, " ".join(f"w{i}x{j}" for j in range(60)), 1) for i in range(6500)]
+    noted = [(10_000 + i, " ".join(f"w{i}x{j}#" for j in range(60)), 1) for i in range(200)]
+    junk = [(20_000 + i, " ".join(f"w{i}x{j}!" for j in range(60)), 0) for i in range(200)]
+    rows = plain + noted + junk
+    texts, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    seen = []
+    inner = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda path, q, cost, n: seen.append((n[q == 0].sum(), n[q != 0].sum())) or inner(path, q, cost, n))
+    forest, least = quality.fit(texts, labels)
+    assert seen == [(200, 6700)]
+    path = lambda some: quality._length(forest, quality.statistics([t.encode() for _, t, _ in some])[1]) / quality.STEPS
+    assert path(junk).max() < least <= min(path(plain).min(), path(noted).min())
+    again = quality.fit(texts.repartition(7), labels.repartition(3))
+    assert again[1] == least and all((a == b).all() for a, b in zip(again[0].arrays, forest.arrays))
+
+
 def test_forest_isolates_what_lies_apart():
     rng = np.random.default_rng(1)
     clean = rng.normal(0.2, 0.02, (500, 3))
