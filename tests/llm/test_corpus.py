@@ -405,6 +405,51 @@ def test_no_passage_is_lost_to_an_earlier_part_of_it(spark):
     assert sum(root(d) == root(s) for d, s in pairs) == len(pairs) > 50
 
 
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_no_passage_is_lost_between_the_first_and_the_previous(spark, monkeypatch, crowd):
+    """A passage of phrases, each of which the first and the previous document have elsewhere, is found in the document between."""
+    monkeypatch.setattr(passages, "CROWD", crowd)
+    rng, vocab = random.Random(41), vocabulary(5000, 42)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    parts = [text(12) for _ in range(5)]
+    mixed = lambda: sum((text(30) + parts[k] for k in rng.sample(range(5), 5)), text(9))
+    # One word between phrases, another one in each document: no seed goes across.
+    joined = lambda: sum((p + text(1) for p in parts), [])
+    docs = {1: mixed(), 2: mixed(), 3: text(20) + joined() + text(20), 4: mixed(), 5: mixed(), 6: text(35) + joined() + text(9), 7: text(40)}
+    got = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.source_id) for r in got} == {(6, 3)}
+    assert max(r.end - r.start for r in got) >= 60
+
+
+def test_ends_go_the_same_way_through_equal_words_alone(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghijklmnopqrstuvwxyz").encode() for _ in range(rng.randint(0, 16))] for _ in range(2))
+        got = passages._ahead(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(passages, "FEW", 0)
+            assert passages._ahead(a, b) == got
+
+
+def test_seeds_meet_all_earlier_documents_or_crowd():
+    rng = np.random.default_rng(5)
+    h, d = rng.integers(0, 9, 600), rng.integers(0, 60, 600)
+    h[:200], d[:200] = rng.integers(9, 40, 200), rng.integers(0, 60, 200)
+    order = np.lexsort((d, h))
+    h, d, p = h[order], d[order], np.arange(600)
+    holders = {k: sorted(set(d[h == k].tolist())) for k in h.tolist()}
+    want = {(k, x, y) for k, own in holders.items() if len(own) <= passages.CROWD for i, x in enumerate(own) for y in own[1 : max(i - 1, 1)]}
+    for size in (1, 7, 600):
+        crowds, got, crowded = passages.Crowds(), set(), []
+        for a in [*range(0, 600, size), None]:
+            cols = [c[:0] if a is None else c[a : a + size] for c in (h, d, p)]
+            (x, y, px, py), rows = crowds(cols, end=a is None)
+            got |= {(int(h[i]), int(u), int(v)) for u, v, i, j in zip(x, y, px, py) if h[i] == h[j]}
+            crowded += rows[2].tolist()
+        assert got == want and len(want) > 100
+        assert sorted(crowded) == [i for i in range(600) if len(holders[int(h[i])]) > passages.CROWD] and crowded
+
+
 @pytest.mark.parametrize("edits", [3, 6, 9])
 def test_recall_of_edited_passages(spark, edits):
     """Of 60-word passages with edits, all of similarity 0.8 and more, at least nine tenths are found."""
