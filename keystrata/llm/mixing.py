@@ -21,7 +21,7 @@ extra columns stay. An empty table or budget selects nothing.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 from fractions import Fraction
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import chunks, durable, texts
+from .common import CHUNK_ROWS, durable, texts
 
 #: Leaves that the driver's tree may have; a table with more is refused.
 MAX_LEAVES = 50_000
@@ -75,14 +75,14 @@ def leaf_budgets(budget: int, tokens: Mapping[Leaf, int], weights: Mapping[tuple
 
 
 def _counted(docs: DataFrame, text_col: str) -> DataFrame:
-    out = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())])
+    """``docs`` with n_tokens. Texts go to Python, but only counts come back, so that an executor doesn't hold them twice."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text_col):
-            n = [len(x.split()) for x in texts(b.column(b.schema.get_field_index(text_col)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=out.names)
+    @F.arrow_udf(T.LongType())
+    def count(column: pa.Array) -> pa.Array:
+        parts = (column.slice(at, CHUNK_ROWS) for at in range(0, len(column), CHUNK_ROWS))
+        return pa.array([len(x.split()) for part in parts for x in texts(part)], pa.int64())
 
-    return docs.mapInArrow(run, out)
+    return docs.withColumn("n_tokens", count(text_col))
 
 
 def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, int], budget_share: float | None = None, budget_tokens: int | None = None, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -946,3 +946,10 @@ def test_share():
     # A shortage below goes to siblings before it goes to the other branch.
     got = mixing.leaf_budgets(100, {("x", "en", "s"): 5, ("x", "en", "t"): 100, ("y", "en", "s"): 100}, {}, 1)
     assert got == {("x", "en", "s"): 5, ("x", "en", "t"): 45, ("y", "en", "s"): 50}
+
+
+def test_mixing_takes_no_text_back_from_python(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * i), "en", f"s{i % 3}") for i in range(40)] + [(None, None, None, None)], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(docs, registry.source_domain(), {}, budget_share=0.6).select("doc_id", "epoch", "n_tokens", "take_tokens")
+    assert {(r.doc_id, r.n_tokens) for r in mixed.collect()} <= {(i, i) for i in range(40)} and mixed.count() > 0
+    assert "MapInArrow" not in mixed._jdf.queryExecution().toString()
