@@ -55,7 +55,7 @@ BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 #: Bits of a key: few enough for small messages, so many that of 10^13 n-grams one in some thousand meets another.
 KEY_BITS = 56
 #: How hard pieces are compressed: they are written and shuffled.
-LEVEL = 6
+LEVEL = 12
 #: Bytes of text in a piece.
 PIECE_BYTES = 4 << 20
 #: Bytes of text for each shard: its keys take about three times as many, so a shard stays small at any size of the corpus.
