@@ -421,6 +421,19 @@ def test_no_passage_is_lost_between_the_first_and_the_previous(spark, monkeypatc
     assert max(r.end - r.start for r in got) >= 60
 
 
+def test_repeats_between_the_first_and_the_previous_are_removed(spark):
+    """The pipeline's stage cuts a passage whose source is neither the first nor the previous document of its seeds."""
+    rng, vocab = random.Random(43), vocabulary(5000, 44)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    parts = [text(12) for _ in range(5)]
+    mixed = lambda: sum((text(30) + parts[k] for k in rng.sample(range(5), 5)), text(9))
+    joined = lambda: sum((p + text(1) for p in parts), [])
+    docs = {1: mixed(), 2: mixed(), 3: text(20) + joined() + text(20), 4: mixed(), 5: mixed(), 6: text(35) + joined() + text(9)}
+    out = passages.remove_repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3))
+    left = {r.doc_id: r.text.split() for r in out.collect()}
+    assert len(left[6]) <= len(docs[6]) - 60 and all(left[i] == docs[i] for i in range(1, 6))
+
+
 def test_ends_go_the_same_way_through_equal_words_alone(monkeypatch):
     rng = random.Random(6)
     for _ in range(300):
