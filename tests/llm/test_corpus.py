@@ -418,7 +418,54 @@ def test_no_passage_is_lost_between_the_first_and_the_previous(spark, monkeypatc
     docs = {1: mixed(), 2: mixed(), 3: text(20) + joined() + text(20), 4: mixed(), 5: mixed(), 6: text(35) + joined() + text(9), 7: text(40)}
     got = passages.shared_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)).collect()
     assert {(r.doc_id, r.source_id) for r in got} == {(6, 3)}
-    assert max(r.end - r.start for r in got) >= 60
+    assert max(r.end - r.start for r in got) >= 50
+
+
+@pytest.mark.parametrize("held", [20_000, 3])
+def test_no_passage_of_crowded_seeds_is_lost(spark, monkeypatch, held):
+    """All seeds of a passage are crowded, and none is followed by the same crowded seed in both documents."""
+    monkeypatch.setattr(passages, "CROWD", 2)
+    monkeypatch.setattr(passages, "HELD", held)
+    rng, vocab = random.Random(45), vocabulary(5000, 46)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    parts, between = [text(19) for _ in range(2)], [text(16)]
+    mixed = lambda: sum((text(30) + x for x in rng.sample(parts + between, 3)), text(9))
+    one = lambda: parts[0] + text(1) + parts[1]
+    other = lambda: sum((p + (between[k] if k < 1 else []) for k, p in enumerate(parts)), [])
+    docs = {1: mixed(), 2: mixed(), 3: text(20) + one() + text(20), 4: mixed(), 5: mixed(), 6: text(35) + other() + text(9), 7: mixed()}
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(3)
+    got = passages.shared_passages(data).collect()
+    assert {(r.doc_id, r.source_id) for r in got} == {(6, 3)} and max(r.end - r.start for r in got) >= 50
+    left = {r.doc_id: r.text.split() for r in passages.remove_repeats(data).collect()}
+    assert len(left[6]) <= len(docs[6]) - 50 and all(left[i] == docs[i] for i in docs if i != 6)
+
+
+def test_crowded_seeds_meet_wherever_a_passage_is_possible():
+    """The filters of areas against counters and plain tables of common subsequences."""
+    rng = np.random.default_rng(3)
+    areas = rng.integers(1, 300, (48, passages.WIDTH)).astype(np.uint16)
+    for i in range(24):
+        other = rng.random(passages.WIDTH) < i / 60
+        areas[i + 24] = np.where(other, rng.integers(1, 300, passages.WIDTH), areas[i])
+        areas[i + 24, : rng.integers(0, 60)] = 0
+        areas[i + 24, passages.AROUND : passages.AROUND + passages.K] = areas[i, passages.AROUND : passages.AROUND + passages.K]
+    words, pairs = ([Counter(r[r > 0].tolist()) for r in x] for x in (areas, passages._pairs(areas)))
+    want = {(i, j) for i in range(48) for j in range(i) if sum((words[i] & words[j]).values()) >= passages.EQUAL and sum((pairs[i] & pairs[j]).values()) >= passages.SHARED}
+    got = [(i, j) for x, y in passages.likely(areas, np.arange(48), np.ones(48, dtype=bool), 48) for i, j in zip(x.tolist(), y.tolist())]
+    assert set(got) == want and len(got) == len(want) > 10
+    a, n, sure = passages.AROUND, passages.AROUND + 1, []
+    for x, y in zip(areas[24:].tolist(), areas[:24].tolist()):
+        best = []
+        for u, v in ((x[:a][::-1], y[:a][::-1]), (x[a + passages.K :], y[a + passages.K :])):
+            same = [[0] * n for _ in range(n)]
+            for i in range(a):
+                for j in range(a):
+                    same[i + 1][j + 1] = max(same[i][j + 1], same[i + 1][j], same[i][j] + (u[i] == v[j] > 0))
+            best.append([max(5 * same[i][j] - 2 * (i + j) for j in range(n)) for i in range(n)])
+        sure.append(max(best[0][i] + best[1][j] for i in range(n) for j in range(n) if i + j + passages.K >= passages.MIN_WORDS) + passages.K >= 0)
+    assert (passages.possible(areas[24:], areas[:24]) >= 0).tolist() == sure and 0 < sum(sure) < 24
+    # Nothing that is possible is sorted out before.
+    assert all((i + 24, i) in want for i in range(24) if sure[i])
 
 
 def test_repeats_between_the_first_and_the_previous_are_removed(spark):
