@@ -468,6 +468,16 @@ def test_crowded_seeds_meet_wherever_a_passage_is_possible():
     assert all((i + 24, i) in want for i in range(24) if sure[i])
 
 
+def test_a_passage_of_many_documents_has_a_row_a_document():
+    """Chains inside a passage found are not aligned again; what it leaves over is."""
+    rng, vocab = random.Random(47), vocabulary(5000, 48)
+    text = lambda n: [rng.choice(vocab).lower().encode() for _ in range(n)]
+    one, two = text(60), text(60)
+    ask = lambda s, p, words: {"s": s, "base": 0, "words": b" ".join(words), "chains": [[p, 0, len(words)]]}
+    got = passages._passages(b" ".join(one + two), [ask(9, 60, two), ask(3, 0, one), ask(4, 0, one), ask(2, 5, one[5:])])
+    assert [x[:3] for x in got] == [(3, 0, 60), (9, 60, 120)]
+
+
 def test_repeats_between_the_first_and_the_previous_are_removed(spark):
     """The pipeline's stage cuts a passage whose source is neither the first nor the previous document of its seeds."""
     rng, vocab = random.Random(43), vocabulary(5000, 44)
