@@ -468,6 +468,47 @@ def test_crowded_seeds_meet_wherever_a_passage_is_possible():
     assert all((i + 24, i) in want for i in range(24) if sure[i])
 
 
+def test_crowded_seeds_that_can_meet_nothing_have_no_row(spark, monkeypatch):
+    """A seed's first document and documents shorter than a passage go no further; a stretch of one word has one row."""
+    monkeypatch.setattr(passages, "CROWD", 2)
+    rng, vocab = random.Random(49), vocabulary(5000, 50)
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    phrase = text(12)
+    docs = {i: text(40) + phrase + text(40) for i in range(1, 6)} | {6: phrase + text(20)}
+    docs |= {i: text(40) + ["again"] * 30 + text(40) for i in range(7, 11)}
+    data = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "d long, text string").repartition(3)
+    rows = Counter(r.d for r in passages.chains(data).where("hi < 0").collect())
+    assert set(rows) == {2, 3, 4, 5, 8, 9, 10} and {rows[i] for i in (8, 9, 10)} == {1}
+
+
+def test_a_possible_passage_ends_in_equal_words():
+    """35 equal words and 15 others are no passage; what aligns is possible, and where both texts end they are not alike."""
+    rng = np.random.default_rng(7)
+    areas = rng.permutation(60_000)[: 4 * passages.WIDTH].reshape(4, -1).astype(np.uint16) + 1
+    at = passages.AROUND
+    areas[:, at - 15 : at + 20] = areas[0, at - 15 : at + 20]
+    areas[2:, at - 15 : at + 45] = areas[2, at - 15 : at + 45]
+    x, y = np.array([1, 3]), np.array([0, 2])
+    assert (passages.possible(areas[x], areas[y]) >= 0).all()
+    assert (passages._worth(areas, passages._halves(areas), x, y) >= 0).tolist() == [False, True]
+    for _ in range(30):
+        other = rng.integers(1, 200, (40, passages.WIDTH))
+        areas = np.where(rng.random((40, passages.WIDTH)) < rng.random((40, 1)) / 2, other, rng.integers(1, 200, passages.WIDTH)).astype(np.uint16)
+        areas[:, at : at + passages.K] = areas[0, at : at + passages.K]
+        x, y = np.arange(1, 40), np.zeros(39, dtype=np.int64)
+        worth = passages._worth(areas, passages._halves(areas), x, y)
+        most = passages.possible(areas[x], areas[y], (at, at))
+        assert ((worth >= 0) == (most >= 0)).all() and (worth == most)[worth >= 0].all()
+        assert all(w >= 0 or not passages.align(areas[u].tolist(), areas[0].tolist(), 0, [at, at, passages.K]) for u, w in zip(x, worth))
+    # Two ends of texts, 30 words alike: one has no passage there with the other, whose end is not text.
+    areas = np.zeros((3, passages.WIDTH), dtype=np.uint16)
+    areas[:, 20 : at + 30] = rng.permutation(60_000)[: 3 * (at + 10)].reshape(3, -1) + 1
+    areas[1:, at : at + 30] = areas[0, at : at + 30]
+    contexts = passages.Contexts()
+    rows = [np.array([1, 2, 3]), np.full(3, at - 20), np.array([0, 30, 30]), areas]
+    assert not sum(len(c[0]) for c in contexts._meet(rows, None)) and rows[2].tolist() == [0, 30, 30]
+
+
 def test_a_passage_of_many_documents_has_a_row_a_document():
     """Chains inside a passage found are not aligned again; what it leaves over is."""
     rng, vocab = random.Random(47), vocabulary(5000, 48)
