@@ -468,6 +468,42 @@ def test_crowded_seeds_meet_wherever_a_passage_is_possible():
     assert all((i + 24, i) in want for i in range(24) if sure[i])
 
 
+def test_sources_alike_to_a_row_are_aligned_once(monkeypatch):
+    """Two hundred documents of one word: one twenty words between meets all, but few are aligned, and none goes on alone."""
+    rng, calls, align = np.random.default_rng(5), [], passages.align
+    monkeypatch.setattr(passages, "align", lambda *a: calls.append(1) or align(*a))
+    areas = rng.integers(1000, 60_000, (203, passages.WIDTH)).astype(np.uint16)
+    areas[:200, passages.AROUND :] = 7
+    areas[200:, passages.AROUND : passages.AROUND + 60] = [7] * 20 + [8] * 20 + [7] * 20
+    d, need, contexts = np.arange(203), np.repeat([0, 20], [200, 3]).astype(np.int64), passages.Contexts()
+    found = [*contexts(np.zeros(203, dtype=np.int64), d, np.full(203, 100), need, areas), *contexts.end()]
+    d, s, p, q = (np.concatenate(c) for c in zip(*found))
+    assert {(x, y) for x, y, z in zip(d.tolist(), s.tolist(), q.tolist()) if y < 200 and z == passages.ALONE - 100} == {(200, y) for y in range(200)}  # the other two are copies of it
+    assert len(calls) < 60
+    both = [np.array(c) for c in ([9, 9], [1, 1], [10, 20], [passages.ALONE - 30, passages.ALONE - 55])]
+    assert passages._hopeful([c[:1] for c in both]) == []
+    both[3][0] = 30  # may be a passage alone
+    assert [x[4] for x in passages._hopeful(both)] == [[[10, 30, passages.K]]]
+
+
+def test_repeated_words_meet_wherever_a_passage_is_possible():
+    """Runs of a few words repeated: no pair with a possible passage is left out, though short runs are looked up by other words."""
+    rng, m = np.random.default_rng(6), 180
+    areas = np.zeros((m, passages.WIDTH), dtype=np.uint16)
+    for i in range(m):
+        n = int(rng.integers(8, 40))
+        words = np.repeat(rng.integers(1, 4, 40), n)
+        words[:n] = 9
+        areas[i, passages.AROUND :] = words[: passages.WIDTH - passages.AROUND]
+        areas[i, : passages.AROUND] = np.repeat(rng.integers(1, 4, 40), n)[: passages.AROUND]
+    x, y = (k.reshape(-1) for k in np.indices((m, m)))
+    x, y = x[y < x], y[y < x]
+    sure = passages._worth(areas, passages._halves(areas), x, y) >= 0
+    got = {(i, j) for a, b in passages.likely(areas, np.arange(m), np.ones(m, dtype=bool), m) for i, j in zip(a.tolist(), b.tolist())}
+    assert passages._short_runs(areas).sum() > m // 3 and 0 < sure.sum() < len(x)
+    assert set(zip(x[sure].tolist(), y[sure].tolist())) <= got
+
+
 def test_crowded_seeds_that_can_meet_nothing_have_no_row(spark, monkeypatch):
     """A seed's first document and documents shorter than a passage go no further; a stretch of one word has one row."""
     monkeypatch.setattr(passages, "CROWD", 2)
